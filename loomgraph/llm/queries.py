@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import crosssplit
+from . import crosssplit, groupsplit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,9 @@ def queries() -> dict[str, Query]:
     return {
         "p3_found": _on(crosssplit.found, "holdout", "raw_entries"),
         "p3_report": _on(crosssplit.report, "holdout", "raw_entries"),
+        "p4_found": _on(groupsplit.found, "holdout", "raw_entries"),
+        "p4_assign": _on(groupsplit.assign, "holdout", "raw_entries", "split_targets"),
+        "p4_report": _on(groupsplit.report, "holdout", "raw_entries", "split_targets"),
     }
 
 
