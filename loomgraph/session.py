@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,7 +49,15 @@ def parallel(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def arrow_type(df: DataFrame, column: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(df.schema[column].dataType)
+def shipped(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of every executor, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_loomgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._loomgraph_shipped = True
