@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import crosssplit, groupsplit
+from . import crosssplit, groupsplit, oddsketch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,8 @@ def queries() -> dict[str, Query]:
         "p4_found": _on(groupsplit.found, "holdout", "raw_entries"),
         "p4_assign": _on(groupsplit.assign, "holdout", "raw_entries", "split_targets"),
         "p4_report": _on(groupsplit.report, "holdout", "raw_entries", "split_targets"),
+        "p5_found": _on(oddsketch.found, "owasp_entries", "samples"),
+        "p5_groups": _on(oddsketch.groups, "owasp_entries", "samples"),
     }
 
 
