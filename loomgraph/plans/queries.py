@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import log_templates
+from ..session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {
+        "p2_found": lambda spark, folder: log_templates.entries(table(spark, folder, "run_log")),
+        "p2_templates": lambda spark, folder: log_templates.templates(table(spark, folder, "run_log")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
