@@ -30,6 +30,7 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _WORD, _BLANK, _VALUE = _byte_tables()
+_LOWER = (_WORD & (np.arange(256) != ord("_")) & ~((np.arange(256) >= 65) & (np.arange(256) < 91))) | (np.arange(256) >= 0x80)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -71,17 +72,28 @@ def _text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of every token of every text, in order."""
-    data, offsets = _text_bytes(texts)
-    if not len(data):
+    return _tokens(*_text_bytes(texts), _WORD, _BLANK)
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text index) of every word of texts in which words are runs of lower ASCII letters, digits and any other characters beyond ASCII."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+    return _tokens(data, offsets - offsets[0], _LOWER, ~_LOWER)
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, blank_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(data) or blank_bytes[data].all():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = _WORD[data]
+    word = word_bytes[data]
     first = np.zeros(len(data) + 1, bool)
-    first[offsets] = True  # a text's first byte begins a token; no token runs over two texts
+    first[np.minimum(offsets, len(data))] = True  # a text's first byte begins a token; no token runs over two texts
     first = first[:-1]
     continued = np.zeros(len(data), bool)
     continued[1:] = word[1:] & word[:-1]
     continued |= (data & 0xC0) == 0x80
-    starts = np.flatnonzero(~_BLANK[data] & (first | ~continued))
+    starts = np.flatnonzero(~blank_bytes[data] & (first | ~continued))
     ends = np.append(starts[1:], len(data))
     # The bytes of a token's reach that are blank add nothing to its hash.
     length = np.arange(len(data)) - np.repeat(starts, ends - starts)[: len(data)] if starts[0] == 0 else None
@@ -91,7 +103,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     top = int(length.max()) + 1
     power = _POW if top <= len(_POW) else _powers(top)
     part = _VALUE[data] * power[length]
-    part[_BLANK[data]] = 0
+    part[blank_bytes[data]] = 0
     h = np.add.reduceat(part, starts)
     which = np.searchsorted(offsets, starts, side="right") - 1
     return mix(h), which
