@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import crosssplit, groupsplit, leakage, lookalikes, oddsketch
+from . import crosssplit, groupsplit, leakage, lookalikes, oddsketch, sourcecheck
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,8 @@ def queries() -> dict[str, Query]:
         "p4_report": _on(groupsplit.report, "holdout", "raw_entries", "split_targets"),
         "p5_found": _on(oddsketch.found, "owasp_entries", "samples"),
         "p5_groups": _on(oddsketch.groups, "owasp_entries", "samples"),
+        "p6_found": _on(sourcecheck.found, "samples"),
+        "p6_rates": _on(sourcecheck.rates, "samples"),
         "p7_found": _on(leakage.found, "documents", "eval_items"),
         "p7_report": _on(leakage.report, "documents", "eval_items"),
         "p9_found": _on(lookalikes.found, "documents"),
