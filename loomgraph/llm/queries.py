@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import crosssplit, groupsplit, leakage, lookalikes, oddsketch, sourcecheck
+from . import credentials, crosssplit, groupsplit, leakage, lookalikes, oddsketch, sourcecheck
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ def _on(function: Callable[..., DataFrame], *names: str) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": _on(credentials.found, "holdout", "owasp_entries"),
+        "p1_redaction": _on(credentials.redaction, "holdout", "owasp_entries"),
         "p3_found": _on(crosssplit.found, "holdout", "raw_entries"),
         "p3_report": _on(crosssplit.report, "holdout", "raw_entries"),
         "p4_found": _on(groupsplit.found, "holdout", "raw_entries"),
