@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import credentials, crosssplit, groupsplit, leakage, lookalikes, oddsketch, sourcecheck
+from . import credentials, crosssplit, groupsplit, leakage, lookalikes, mixing, oddsketch, sourcecheck
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,8 @@ def queries() -> dict[str, Query]:
         "p6_rates": _on(sourcecheck.rates, "samples"),
         "p7_found": _on(leakage.found, "documents", "eval_items"),
         "p7_report": _on(leakage.report, "documents", "eval_items"),
+        "p8_mix": _on(mixing.mix, "documents", "mix_targets"),
+        "p8_shares": _on(mixing.shares, "documents", "mix_targets"),
         "p9_found": _on(lookalikes.found, "documents"),
         "p9_consistent": _on(lookalikes.consistent, "documents"),
     }
