@@ -17,38 +17,70 @@ from pyspark.sql import DataFrame
 from . import shingles
 
 BITS = 20
+SIDE_BITS = 24
 _SLICES = 32
 
 
+def _slices(table: np.ndarray) -> list[bytes]:
+    return [zlib.compress(x.tobytes(), 1) for x in np.split(table, _SLICES)]
+
+
 def count_table(codes: DataFrame, column: str, bits: int = BITS, k: int = shingles.RUN) -> Broadcast:
     """The counts of all runs of k tokens in `column`, over every row, as a broadcast array of 2**bits numbers.
 
     Null and empty texts count nothing; an empty table gives zeros.
     """
+    return codes.sparkSession.sparkContext.broadcast(_gathered(codes, column, None, bits, k)[0])
+
+
+def sided_table(codes: DataFrame, column: str, side: str, bits: int = BITS, k: int = shingles.RUN) -> Broadcast:
+    """The counts as above, and a table of 2**SIDE_BITS cells of a byte: bit 0 where a run of a row whose boolean `side` is false falls in the cell, bit 1 where one of a true row does.
+
+    It is sent as two bitmaps, 2**(SIDE_BITS - 2) bytes in all.
+    """
+    counts, bitmaps = _gathered(codes, column, side, bits, k)
+    return codes.sparkSession.sparkContext.broadcast((counts, bitmaps))
+
+
+def side_flags(bitmaps: np.ndarray) -> np.ndarray:
+    """The cells of a sided table, from its two bitmaps."""
+    no, yes = np.split(np.unpackbits(bitmaps), 2)
+    return no | (yes << 1)
 
+
+def _gathered(codes: DataFrame, column: str, side: str | None, bits: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     def partial(batches):
         total = np.zeros(1 << bits, np.uint32)
+        seen = np.zeros((2, 1 << SIDE_BITS if side else _SLICES * 8), bool)
         for batch in batches:
             for part in shingles.pieces(batch, column):
-                h, _, _ = shingles.runs(part.column(column), k)
+                h, which, _ = shingles.runs(part.column(column), k)
                 total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-        packed = [zlib.compress(x.tobytes(), 1) for x in np.split(total, _SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
+                if side:
+                    yes = np.array(part.column(side).to_pylist(), bool)[which]
+                    cell = (h >> np.uint64(64 - SIDE_BITS)).astype(np.int64)
+                    seen[0, cell[~yes]] = True
+                    seen[1, cell[yes]] = True
+        packed = np.packbits(seen, axis=None)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(_slices(total), pa.binary()), pa.array(_slices(packed), pa.binary())], ["slice", "counts", "seen"])
 
     def merged(batches):
         # Batch by batch: the tables of all tasks are never held at once.
-        totals: dict[int, np.ndarray] = {}
+        totals: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for at, x in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-                part = np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
-                totals[at] = totals[at] + part if at in totals else part.astype(np.uint64)
-        packed = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    rows = codes.select(column).mapInArrow(partial, schema).repartition("slice").mapInArrow(merged, schema).collect()
-    cells = (1 << bits) // _SLICES
-    table = np.zeros(1 << bits, np.uint32)
+            for at, x, y in zip(batch.column("slice").to_pylist(), batch.column("counts"), batch.column("seen"), strict=True):
+                counts = np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32).astype(np.uint64)
+                seen = np.frombuffer(zlib.decompress(y.as_buffer()), np.uint8)
+                totals[at] = [totals[at][0] + counts, totals[at][1] | seen] if at in totals else [counts, seen]
+        counts = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x, _ in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(counts, pa.binary()), pa.array([y.tobytes() for _, y in totals.values()], pa.binary())], ["slice", "counts", "seen"])
+
+    schema = "slice int, counts binary, seen binary"
+    columns = [column, side] if side else [column]
+    rows = codes.select(*columns).mapInArrow(partial, schema).repartition("slice").mapInArrow(merged, schema).collect()
+    counts = [np.zeros((1 << bits) // _SLICES, np.uint32)] * _SLICES
+    seen = [np.zeros((2 << SIDE_BITS if side else _SLICES * 16) // 8 // _SLICES, np.uint8)] * _SLICES
     for row in rows:
-        table[row["slice"] * cells : (row["slice"] + 1) * cells] = np.frombuffer(row["counts"], np.uint32)
-    return codes.sparkSession.sparkContext.broadcast(table)
+        counts[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
+        seen[row["slice"]] = np.frombuffer(row["seen"], np.uint8)
+    return np.concatenate(counts), np.concatenate(seen)

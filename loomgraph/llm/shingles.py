@@ -53,6 +53,9 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
+#: Run hashes leave room for a text's index, so that one sort orders both.
+_ROOM = 12
+_HIGH = np.uint64(2**64 - 2**_ROOM)
 _POW = _powers(1 << 16)
 
 
@@ -110,12 +113,12 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, blank
 
 
 def combine(h: np.ndarray, k: int = RUN) -> np.ndarray:
-    """The hash of each run of k successive token hashes."""
+    """The hash of each run of k successive token hashes, of 52 bits; the low 12 bits are zero."""
     n = max(len(h) - k + 1, 0)
     out = h[:n].copy()
     for i in range(1, k):
         out = mix(out * np.uint64(0xD6E8FEB86659FD93) + h[i : i + n])
-    return out
+    return out & _HIGH
 
 
 def runs(texts: pa.Array, k: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +136,23 @@ def runs(texts: pa.Array, k: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndar
 def run_sets(texts: pa.Array, k: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of the distinct runs of each text, ordered by text, then hash."""
     h, which, _ = runs(texts, k)
-    return distinct(h, which)
+    return distinct_runs(h, which)
+
+
+def _packed(h: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Text index and run hash in one number."""
+    return (which.astype(np.uint64) << np.uint64(64 - _ROOM)) | (h >> np.uint64(_ROOM))
+
+
+def distinct_runs(h: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `distinct`, for run hashes."""
+    if not len(h) or int(which[-1]) >= 1 << _ROOM:
+        return distinct(h, which)
+    key = np.sort(_packed(h, which))
+    keep = np.ones(len(key), bool)
+    keep[1:] = key[1:] != key[:-1]
+    key = key[keep]
+    return key << np.uint64(_ROOM), (key >> np.uint64(64 - _ROOM)).astype(np.int64)
 
 
 def distinct(h: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +173,16 @@ def pair_similarity(left: pa.Array, right: pa.Array, k: int = RUN) -> np.ndarray
     a, ai = run_sets(left, k)
     b, bi = run_sets(right, k)
     na, nb = np.bincount(ai, minlength=n), np.bincount(bi, minlength=n)
-    h, which = np.concatenate([a, b]), np.concatenate([ai, bi])
-    order = np.argsort(h)
-    order = order[np.argsort(which[order], kind="stable")]
-    h, which = h[order], which[order]
-    same = (h[1:] == h[:-1]) & (which[1:] == which[:-1])
-    both = np.bincount(which[1:][same], minlength=n)
+    if n <= 1 << _ROOM:
+        key = np.sort(np.concatenate([_packed(a, ai), _packed(b, bi)]))
+        same = key[1:][key[1:] == key[:-1]]
+        both = np.bincount((same >> np.uint64(64 - _ROOM)).astype(np.int64), minlength=n)
+    else:
+        h, which = np.concatenate([a, b]), np.concatenate([ai, bi])
+        order = np.argsort(h)
+        order = order[np.argsort(which[order], kind="stable")]
+        h, which = h[order], which[order]
+        both = np.bincount(which[1:][(h[1:] == h[:-1]) & (which[1:] == which[:-1])], minlength=n)
     either = na + nb - both
     return np.where(either > 0, both / np.maximum(either, 1), 0.0)
 
@@ -171,7 +194,7 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     at, begin = 0, 0
     total = 0
     for at, size in enumerate(sizes.tolist()):
-        if total and total + size > limit:
+        if at > begin and (total + size > limit or at - begin >= 1 << _ROOM):
             yield batch.slice(begin, at - begin)
             begin, total = at, 0
         total += size
