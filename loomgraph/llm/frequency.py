@@ -84,3 +84,44 @@ def _gathered(codes: DataFrame, column: str, side: str | None, bits: int, k: int
         counts[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
         seen[row["slice"]] = np.frombuffer(row["seen"], np.uint8)
     return np.concatenate(counts), np.concatenate(seen)
+
+
+def members(numbers: DataFrame, column: str, bits: int = SIDE_BITS) -> Broadcast:
+    """A bitmap of fixed size in which the bit of every number of a column is set."""
+
+    def partial(batches):
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            seen[_cells(batch.column(column), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())], ["seen"])
+
+    def merged(batches):
+        total = np.zeros((1 << bits) // 8, np.uint8)
+        for batch in batches:
+            for x in batch.column("seen"):
+                total |= np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["seen"])
+
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    for row in numbers.select(column).mapInArrow(partial, "seen binary").coalesce(8).mapInArrow(merged, "seen binary").collect():
+        bitmap |= np.frombuffer(zlib.decompress(row["seen"]), np.uint8)
+    return numbers.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _cells(numbers: pa.Array, bits: int) -> np.ndarray:
+    values = numbers.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+    return (shingles.mix(values + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def kept(rows: DataFrame, column: str, wanted: Broadcast, bits: int = SIDE_BITS) -> DataFrame:
+    """The rows whose number is in a bitmap, and a few others that share a bit; without a shuffle."""
+
+    def run(batches):
+        bitmap = wanted.value
+        for batch in batches:
+            cell = _cells(batch.column(column), bits)
+            hit = (bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+            if hit.any():
+                yield batch.filter(pa.array(hit.astype(bool)))
+
+    return rows.mapInArrow(run, rows.schema)
