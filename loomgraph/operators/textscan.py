@@ -39,7 +39,7 @@ FINDING = ["file_id", "line_no", "cwe", "rule", "severity"]
 
 def literal_credentials(assigned: DataFrame) -> DataFrame:
     """Assignments of a literal of at least 8 bytes and more than 3 bits a byte to a credential's name."""
-    literal = F.regexp_extract("value", r"^[\"'](.*)[\"'];?$", 1)
+    literal = F.regexp_extract("value", r"(?s)^[\"'](.*)[\"'];?\z", 1)
     found = assigned.where(any_of(F.lower("name"), CREDENTIAL_NAMES)).withColumn("literal", literal).where(F.octet_length("literal") >= 8)
     return found.withColumn("bits", F.round(entropy(F.col("literal")), 6)).where("bits > 3.0").select("file_id", "line_no", F.lit("CWE-798").alias("cwe"), F.lit("literal-credential").alias("rule"), F.lit("CRITICAL").alias("severity"), "name", "bits")
 
@@ -81,7 +81,7 @@ def sources(source_lines: DataFrame) -> DataFrame:
 
 def suppressed(source_lines: DataFrame, marker: str = SUPPRESSION) -> DataFrame:
     """(file_id, line_no) of lines that, or whose line before, bear a comment with the marker; the second part of a comment on either line."""
-    comment = F.coalesce(F.regexp_extract("line", r"(?://|#)(.*)$", 1), F.lit(""))
+    comment = F.coalesce(F.regexp_extract("line", r"(?s)(?://|#)(.*)\z", 1), F.lit(""))
     marked = source_lines.withColumn("marked", comment.contains(marker))
     before = F.lag("marked", 1, False).over(Window.partitionBy("file_id").orderBy("line_no"))
     return marked.withColumn("hidden", F.col("marked") | before).where("hidden").select("file_id", "line_no")

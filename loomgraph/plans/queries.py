@@ -125,7 +125,7 @@ def nearest_source(spark: SparkSession, folder: str) -> DataFrame:
 def last_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """Names in returned sums with the newest assignment above."""
     source_lines = _lines(spark, folder)
-    name = F.regexp_extract("line", r"^\s*return .*\(([a-z_][A-Za-z0-9_]*)\)$", 1)
+    name = F.regexp_extract("line", r"(?s)^\s*return .*\(([a-z_][A-Za-z0-9_]*)\)\z", 1)
     uses = source_lines.select("file_id", "line_no", name.alias("name")).where("name != ''")
     return textscan.last_assignment(code.assignments(source_lines), uses)
 
@@ -140,13 +140,13 @@ def unsupported_constructs(spark: SparkSession, folder: str) -> DataFrame:
 
 _SINK_SQL = "CASE " + " ".join(f"WHEN {_like('lower(line)', n)} THEN '{c}'" for c, n in textscan.SINKS) + " END"
 _SOURCE_SQL = "CASE " + " ".join(f"WHEN {_like('lower(line)', n)} THEN '{d}'" for d, n in textscan.SOURCES.items()) + " END"
-_ASSIGN = r"^\s*(?:[A-Za-z_][A-Za-z0-9_<>]* +)?([A-Za-z_][A-Za-z0-9_]*) = ([^=].*)$"
+_ASSIGN = r"(?s)^\s*(?:[A-Za-z_][A-Za-z0-9_<>]* +)?([A-Za-z_][A-Za-z0-9_]*) = ([^=].*)\z"
 _ASSIGNED = f", assigned AS (SELECT * FROM (SELECT file_id, language, line_no, regexp_extract(line, '{_ASSIGN}', 1) AS name, regexp_extract(line, '{_ASSIGN}', 2) AS value FROM lines) WHERE name <> '')"
 _BYTES = "regexp_extract_all(hex(encode(literal)), '..')"
 _ENTROPY = "list_sum([-(len([x for x in b if x = k])::DOUBLE / len(b)) * log2(len([x for x in b if x = k])::DOUBLE / len(b)) for k in list_distinct(b)])"
 _LITERALS = _ASSIGNED + f""", literals AS (
   SELECT file_id, line_no, name, round({_ENTROPY}, 6) AS bits FROM (
-    SELECT *, {_BYTES} AS b FROM (SELECT file_id, line_no, name, regexp_extract(value, '^["''](.*)["''];?$', 1) AS literal FROM assigned WHERE {_like('lower(name)', textscan.CREDENTIAL_NAMES)})
+    SELECT *, {_BYTES} AS b FROM (SELECT file_id, line_no, name, regexp_extract(value, '(?s)^["''](.*)["''];?\\z', 1) AS literal FROM assigned WHERE {_like('lower(name)', textscan.CREDENTIAL_NAMES)})
     WHERE strlen(literal) >= 8) WHERE {_ENTROPY} > 3.0)"""
 _HASH = "regexp_matches(lower(line), '(?:^|[^a-z0-9])(?:" + "|".join(textscan.WEAK_HASHES) + ")(?:[^a-z0-9]|$)')"
 _CIPHER = "regexp_matches(lower(line), '(?:^|[^a-z0-9])(?:" + "|".join(textscan.WEAK_CIPHERS) + ")(?:[^a-z0-9]|$)')"
@@ -156,7 +156,7 @@ _NEAR = f""", sunk AS (SELECT * FROM (SELECT file_id, line_no, {_SINK_SQL} AS cw
 near AS (SELECT s.file_id, s.line_no, s.cwe, coalesce(s.line_no - l.last, -1) AS distance FROM sunk s JOIN (
   SELECT file_id, line_no, max(CASE WHEN {_SOURCE_SQL} IS NOT NULL THEN line_no END) OVER (PARTITION BY file_id ORDER BY line_no) AS last FROM lines) l USING (file_id, line_no))"""
 _FOUND = f"""WITH {_LINES}{_LITERALS}{_CRYPTO}{_HEADER}{_NEAR},
-hidden AS (SELECT file_id, line_no FROM (SELECT file_id, line_no, contains(regexp_extract(line, '(?://|#)(.*)$', 1), 'nosec') AS m, lag(contains(regexp_extract(line, '(?://|#)(.*)$', 1), 'nosec'), 1, false) OVER (PARTITION BY file_id ORDER BY line_no) AS b FROM lines) WHERE m OR b),
+hidden AS (SELECT file_id, line_no FROM (SELECT file_id, line_no, contains(regexp_extract(line, '(?s)(?://|#)(.*)\\z', 1), 'nosec') AS m, lag(contains(regexp_extract(line, '(?s)(?://|#)(.*)\\z', 1), 'nosec'), 1, false) OVER (PARTITION BY file_id ORDER BY line_no) AS b FROM lines) WHERE m OR b),
 every AS (
   SELECT file_id, line_no, 'CWE-798' AS cwe, 'literal-credential' AS rule, 'CRITICAL' AS severity, 4 AS r FROM literals
   UNION ALL SELECT file_id, line_no, cwe, 'weak-cryptography', 'MEDIUM', 2 FROM crypto
@@ -422,10 +422,10 @@ def oracle_sql() -> dict[str, str]:
         "response_headers": f"WITH {_LINES}{_HEADER} SELECT cwe, count(*) AS lines FROM headers GROUP BY cwe",
         "sink_lines": f"WITH {_LINES}{_NEAR} SELECT file_id, cwe, count(*) AS sinks, min(line_no) AS first_line FROM sunk GROUP BY file_id, cwe",
         "source_domains": f"WITH {_LINES} SELECT domain, count(*) AS sources, count(DISTINCT file_id) AS files FROM (SELECT file_id, {_SOURCE_SQL} AS domain FROM lines) WHERE domain IS NOT NULL GROUP BY domain",
-        "suppressed_lines": f"WITH {_LINES} SELECT file_id, line_no FROM (SELECT file_id, line_no, contains(regexp_extract(line, '(?://|#)(.*)$', 1), 'before the') AS m, lag(contains(regexp_extract(line, '(?://|#)(.*)$', 1), 'before the'), 1, false) OVER (PARTITION BY file_id ORDER BY line_no) AS b FROM lines) WHERE m OR b",
+        "suppressed_lines": f"WITH {_LINES} SELECT file_id, line_no FROM (SELECT file_id, line_no, contains(regexp_extract(line, '(?s)(?://|#)(.*)\\z', 1), 'before the') AS m, lag(contains(regexp_extract(line, '(?s)(?://|#)(.*)\\z', 1), 'before the'), 1, false) OVER (PARTITION BY file_id ORDER BY line_no) AS b FROM lines) WHERE m OR b",
         "guarded_sinks": f"WITH {_LINES}, g AS (SELECT file_id, line_no, line, coalesce({guard}, 0) AS guards FROM lines) SELECT file_id, line_no, guards::BIGINT AS guards FROM g WHERE {_like('lower(line)', dict(textscan.SINKS)['CWE-22'])}",
         "nearest_source": f"WITH {_LINES}{_NEAR} SELECT file_id, line_no, cwe, distance FROM near",
-        "last_assignment": f"WITH {_LINES}{_ASSIGNED}, uses AS (SELECT DISTINCT file_id, name, line_no FROM (SELECT file_id, line_no, regexp_extract(line, '^\\s*return .*\\(([a-z_][A-Za-z0-9_]*)\\)$', 1) AS name FROM lines) WHERE name <> '') SELECT u.file_id, u.name, u.line_no, max(a.line_no) AS assigned_at FROM uses u LEFT JOIN assigned a ON a.file_id = u.file_id AND a.name = u.name AND a.line_no < u.line_no GROUP BY u.file_id, u.name, u.line_no",
+        "last_assignment": f"WITH {_LINES}{_ASSIGNED}, uses AS (SELECT DISTINCT file_id, name, line_no FROM (SELECT file_id, line_no, regexp_extract(line, '(?s)^\\s*return .*\\(([a-z_][A-Za-z0-9_]*)\\)\\z', 1) AS name FROM lines) WHERE name <> '') SELECT u.file_id, u.name, u.line_no, max(a.line_no) AS assigned_at FROM uses u LEFT JOIN assigned a ON a.file_id = u.file_id AND a.name = u.name AND a.line_no < u.line_no GROUP BY u.file_id, u.name, u.line_no",
         "return_contexts": f"WITH {_LINES} SELECT cwe, count(*) AS returns FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(line), '{p}') THEN '{c}'" for c, p in textscan.RETURN_CONTEXTS) + " END AS cwe FROM lines WHERE regexp_matches(lower(line), '^\\s*return\\b')) WHERE cwe IS NOT NULL GROUP BY cwe",
         "unsupported_constructs": f"WITH {_FILES} " + " UNION ALL ".join(f"SELECT '{x.strip()}' AS construct, count(*) FILTER (contains(lower(code), '{x}')) AS files FROM files" for x in textscan.UNSUPPORTED),
         "baseline_status": f"WITH {_BEFORE}, {_AFTER}, old AS (SELECT DISTINCT fingerprint FROM printed), new AS (SELECT DISTINCT fingerprint FROM behind) SELECT status, count(*) AS findings FROM (SELECT CASE WHEN o.fingerprint IS NULL THEN 'new' WHEN n.fingerprint IS NULL THEN 'resolved' ELSE 'unchanged' END AS status FROM new n FULL JOIN old o ON n.fingerprint = o.fingerprint) GROUP BY status",

@@ -59,7 +59,7 @@ def calls(source_lines: DataFrame) -> DataFrame:
 
 def assignments(source_lines: DataFrame) -> DataFrame:
     """(file_id, line_no, name, value) of the lines that assign one plain name."""
-    pattern = r"^\s*(?:[A-Za-z_][A-Za-z0-9_<>]* +)?([A-Za-z_][A-Za-z0-9_]*) = ([^=].*)$"
+    pattern = r"(?s)^\s*(?:[A-Za-z_][A-Za-z0-9_<>]* +)?([A-Za-z_][A-Za-z0-9_]*) = ([^=].*)\z"
     name = F.regexp_extract("line", pattern, 1)
     return source_lines.select("file_id", "language", "line_no", name.alias("name"), F.regexp_extract("line", pattern, 2).alias("value")).where("name != ''")
 
