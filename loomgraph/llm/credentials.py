@@ -118,7 +118,7 @@ _USERINFO = re.compile(r"[A-Za-z][\w+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
 _QUERY = re.compile(r"[?&;]([\w.\-]+)=([^&\s\"'<>;]+)")
 _FALLBACK = re.compile(r"\$\{([\w.\-]+):-?([^${}]+)\}")
 _SCHEME = re.compile(r"(?:Bearer|Basic|Token|token|bearer|basic|ApiKey|Digest|SharedKey)\s+")
-_LINE_PAIR = re.compile(r"(?<![\w.$-])([A-Za-z_][\w.\-]*)[\"']?\s*(=|:|->|=>|\bwas\b|\bis\b)\s*([\"']?)([^\s\"',;]+)\3", re.IGNORECASE)
+_LINE_PAIR = re.compile(r"(?<![\w.$-])([A-Za-z_][\w.\-]*)[\"']?[ \t]*(=|:|->|=>|\bwas\b|\bis\b)[ \t]*([\"']?)([^\s\"',;]+)\3", re.IGNORECASE)
 _HEADERS = ("authorization", "proxyauthorization")
 
 
