@@ -135,6 +135,26 @@ def unsupported(code_files: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*(F.struct(F.lit(x.strip()).alias("construct"), F.col(f"`{x}`").alias("files")) for x in UNSUPPORTED))).alias("r")).select("r.construct", "r.files")
 
 
+def property_algorithms(source_lines: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(file_id, line_no, name, algorithm): algorithms chosen through a name that a property lookup set, with the lookup's literal default.
+
+    A self-join of calls and assignments on file and name.
+    """
+    call = r"(?:MessageDigest|Cipher|hashlib)\.(?:getInstance|new)\(([A-Za-z_][A-Za-z0-9_]*)"
+    chosen = source_lines.select("file_id", "line_no", F.regexp_extract("line", call, 1).alias("name")).where("name != ''")
+    looked_up = assigned.where(F.col("value").rlike(r"(?:getProperty|getenv|environ\.get)\(")).select("file_id", "name", F.regexp_extract("value", r"\([^,()]*, *[\"']([^\"']*)[\"']", 1).alias("algorithm"))
+    return chosen.join(looked_up, ["file_id", "name"]).select("file_id", "line_no", "name", "algorithm").distinct()
+
+
+def mentions(functions: DataFrame) -> DataFrame:
+    """(file_id, caller, callee): functions (file_id, name, body) whose body calls another of the file with an argument.
+
+    Names in bodies are taken out first and joined by equality, so no function is paired with every other.
+    """
+    called = functions.select("file_id", F.col("name").alias("caller"), F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_]\w*)\s*\([^()\s]"), F.lit(1)))).alias("callee"))
+    return called.join(functions.select("file_id", F.col("name").alias("callee")).distinct(), ["file_id", "callee"]).where("caller != callee").select("file_id", "caller", "callee")
+
+
 def findings(source_lines: DataFrame, assigned: DataFrame, reach: int = 20) -> DataFrame:
     """All line findings: the text rules, and sinks with a source at most `reach` lines above; suppressed lines are left out."""
     flows = nearest_source(source_lines).where(f"distance between 0 and {reach}").select("file_id", "line_no", "cwe", F.lit("near-source").alias("rule"), F.lit("HIGH").alias("severity"))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar
 from ..operators import features, findings, incremental, log_templates, metrics, program, scoring, taint, textscan
 from ..session import table
-from ..sources import code, frontends
+from ..sources import code, folded, frontends, scopes
 from . import rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -266,6 +266,24 @@ def pointed_sites(spark: SparkSession, folder: str) -> DataFrame:
     return taint.points_to(frontends.instructions(_files(spark, folder))).groupBy("file_id", "method", "name").agg(F.count(F.lit(1)).alias("sites"))
 
 
+def decided_branches(spark: SparkSession, folder: str) -> DataFrame:
+    """Conditions that constants decide, by language and value."""
+    return folded.branches(_files(spark, folder)).groupBy("language", "value").agg(F.count(F.lit(1)).alias("branches"))
+
+
+def symbol_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return scopes.symbols(_files(spark, folder)).groupBy("scope_kind", "kind").agg(F.count(F.lit(1)).alias("symbols"))
+
+
+def function_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    return textscan.mentions(folded.functions(_files(spark, folder)))
+
+
+def property_algorithms(spark: SparkSession, folder: str) -> DataFrame:
+    source_lines = _lines(spark, folder)
+    return textscan.property_algorithms(source_lines, code.assignments(source_lines))
+
+
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events as instruction streams: one method a user, in order of time."""
     events = table(spark, folder, "events")
@@ -385,7 +403,7 @@ def queries() -> dict[str, Query]:
     plain = (
         line_counts, import_counts, import_targets, rule_matches, text_findings, findings_by_weakness, severe_findings, literal_credentials, weak_cryptography, response_headers, sink_lines, source_domains,
         suppressed_lines, guarded_sinks, nearest_source, last_assignment, return_contexts, unsupported_constructs, baseline_status, fingerprints, finding_ids, confusion, matthews, matched_truth, cohorts,
-        sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, event_blocks, event_flows, event_contexts,
+        sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, decided_branches, symbol_kinds, function_mentions, property_algorithms, event_blocks, event_flows, event_contexts,
         place_ancestors, supplier_components, brand_tiers, bound_words, shared_parts, keyword_features, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
     )
     return {
