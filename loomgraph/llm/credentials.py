@@ -89,11 +89,11 @@ def strong(value: str) -> bool:
 
 _HINT = re.compile(
     r"(?i:passw|passphrase|passcode|pwd|secret|token|api[_.-]?key|auth[_.-]?key|access[_.-]?key|account[_.-]?key|signing|encryption[_.-]?key|private[_.-]?key|credential|db[_.]?pass|user[_.]?pass|[_.-]pass\b|bindpw|adminpw|rootpw|userpw|dbpw|deploypat|storagesas|accountsas|authorization|hmac|login|authenticate|sign_in|getconnection)"
-    r"|[_.-](?:pw|PW|pat|PAT|sas|SAS)\b|(?:Pw|Pat|Sas|Pass)\b|PRIVATE KEY|://[^/\s\"'@]+:[^/\s\"'@]+@|AKIA|ASIA|gh[opsur]_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ|\"\.equals\(|\.bind\(|_(?:pat|tok|key)_\w{10}"
+    r"|[_.-](?:pw|PW|pat|PAT|sas|SAS)\b|(?:Pw|Pat|Sas|Pass)\b|PRIVATE KEY|://[^/\s\"'@]{0,200}:[^/\s\"'@]{1,200}@|AKIA|ASIA|gh[opsur]_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ|\"\.equals\(|\.bind\(|_(?:pat|tok|key)_\w{10}"
 )
 _STRINGS = r'"""(?:\\.|[^\\])*?"""' + r"|'''(?:\\.|[^\\])*?'''" + r'|"(?:\\.|[^"\\\n])*"' + r"|'(?:\\.|[^'\\\n])*'"
 _PYTHON = re.compile(rf"(?P<comment>#[^\n]*)|(?P<string>{_STRINGS})", re.DOTALL)
-_JAVA = re.compile(rf"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<string>{_STRINGS})", re.DOTALL)
+_JAVA = re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>{_STRINGS})", re.DOTALL)
 
 _ASSIGNED = re.compile(r"(?:\[\s*[\"']([\w.\-]+)[\"']\s*\]|([A-Za-z_$][\w$]*))\s*(?::\s*[A-Za-z_][\w\[\], .]*)?=\s*\(?\s*[rbfuRBFU]{0,2}$")
 _ENTRY = re.compile(r"[\"']([\w.\- ]+)[\"']\s*:\s*\(?\s*[rbfuRBFU]{0,2}$")
@@ -114,7 +114,7 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_LINE = re.compile(r"(?<!\\)[A-Za-z0-9+/=]{8,}")
 _BODY = re.compile(r"[\s\"'+#*/;,]*(?:\\[nr][\s\"'+#*/;,]*)*[A-Za-z0-9+/=]{12}")
-_USERINFO = re.compile(r"[A-Za-z][\w+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
+_USERINFO = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
 _QUERY = re.compile(r"[?&;]([\w.\-]+)=([^&\s\"'<>;]+)")
 _FALLBACK = re.compile(r"\$\{([\w.\-]+):-?([^${}]+)\}")
 _SCHEME = re.compile(r"(?:Bearer|Basic|Token|token|bearer|basic|ApiKey|Digest|SharedKey)\s+")

@@ -109,7 +109,7 @@ def members(numbers: DataFrame, column: str, bits: int = SIDE_BITS) -> Broadcast
 
 
 def _cells(numbers: pa.Array, bits: int) -> np.ndarray:
-    values = numbers.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+    values = numbers.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
     return (shingles.mix(values + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 

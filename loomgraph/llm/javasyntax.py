@@ -27,6 +27,7 @@ _OPERATORS |= {"<<=": "≔", ">>=": "≔", ">>>=": "≔"}
 _ESCAPE = r"\\(?:[btnfrs\"'\\]|[0-3]?[0-7]{1,2}|u+[0-9a-fA-F]{4})"
 _TOKEN = re.compile(
     r"""[ \t\f\r\n]+|//[^\r\n]*|/\*(?s:.*?)\*/"""
+    r"""|(?P<open>/\*)"""
     r"""|(?P<word>[^\W\d][\w$]*|\$[\w$]*)"""
     r'|(?P<string>"""[ \t\f]*\r?\n(?s:(?:[^"\\]|\\(?:[btnfrs"\'\\\r\n]|[0-3]?[0-7]{1,2}|u+[0-9a-fA-F]{4})|"(?!""))*?)"""'
     r'|"(?!"")(?:[^"\\\r\n]|' + _ESCAPE + r')*"|""(?!")' + r"|'(?:[^'\\\r\n]|" + _ESCAPE + r")')"
@@ -45,10 +46,10 @@ def shape(code: str) -> str | None:
     at = 0
     known = _CODE.get
     for m in _TOKEN.finditer(code):
-        if m.start() != at:
+        kind = m.lastgroup
+        if m.start() != at or kind == "open":
             return None
         at = m.end()
-        kind = m.lastgroup
         if kind == "word":
             word = m[0]
             out.append(known(word) or ("L" if word in _LITERAL_WORDS else "i" if word.isascii() or word.isidentifier() or "$" in word else "?!"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, parallel
 from . import shingles
-from .lookalikes import COMPOSED, FIRST, INVISIBLE, JOINED
+from .lookalikes import COMPOSED, FIRST, INVISIBLE, JOINED, expression
 
 LENGTH = 14
 SHINGLE = 5
@@ -112,10 +112,10 @@ def contains(documents: DataFrame, items: DataFrame, most: int = ITEM_BYTES) ->
     """(doc_id, item_id, contained): documents with a passage of an item, and the share of the item's passages in them.
 
     Items of fewer than LENGTH words have no passage and are in no document; null
-    and empty texts give nothing.
+    and empty texts give nothing, nor do rows without an id.
     """
-    documents = documents.select("doc_id", "text").where("text is not null and text != ''")
-    items = items.select("item_id", "text").where("text is not null and text != ''")
+    documents = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text != ''")
+    items = items.select("item_id", "text").where("item_id is not null and text is not null and text != ''")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > most:
         return _joined(documents, items)
@@ -173,3 +173,12 @@ def report(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Per item: documents that contain part of it, and the largest share of its passages in one document."""
     hits = contains(documents, items).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("contained").alias("most"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.round(F.coalesce("most", F.lit(0.0)), 6).alias("most"))
+
+
+_SQL_WORDS = f"regexp_extract_all(lower(strip_accents({expression('text')})), '[\\p{{L}}\\p{{N}}]+')"
+#: The same by all runs of words.
+FOUND_SQL = f"""
+WITH d AS (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM (SELECT doc_id, {_SQL_WORDS} AS w FROM documents)),
+t AS (SELECT item_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM (SELECT item_id, {_SQL_WORDS} AS w FROM eval_items))
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[i:i + {LENGTH - 1}], ' ') AS g FROM d) JOIN (SELECT item_id, array_to_string(w[i:i + {LENGTH - 1}], ' ') AS g FROM t) USING (g)
+"""

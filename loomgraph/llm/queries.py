@@ -41,6 +41,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": groupsplit.FOUND_SQL,
+        "p7_found": leakage.FOUND_SQL,
         "p9_found": lookalikes.FOUND_SQL,
         "p9_consistent": lookalikes.CONSISTENT_SQL,
     }
