@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,22 +61,30 @@ def response_headers(assigned: DataFrame, source_lines: DataFrame) -> DataFrame:
     return source_lines.where(low.rlike(r"resp[a-z_]*\.headers\[[^\]]*\] *= *[^\"' ]")).select("file_id", "line_no", F.lit("CWE-113").alias("cwe"), F.lit("response-header").alias("rule"), F.lit("MEDIUM").alias("severity"))
 
 
-def sinks(source_lines: DataFrame) -> DataFrame:
-    """(file_id, line_no, cwe, line): lines that call a sink, each with the first weakness that fits."""
-    low = F.lower("line")
-    cwe = F.lit(None).cast("string")
+def sink_weakness(line: Column) -> Column:
+    """The first weakness whose sinks a line calls, null for none."""
+    low, cwe = F.lower(line), F.lit(None).cast("string")
     for name, needles in reversed(SINKS):
         cwe = F.when(any_of(low, needles), name).otherwise(cwe)
-    return source_lines.select("file_id", "line_no", cwe.alias("cwe"), "line").where("cwe is not null")
+    return cwe
 
 
-def sources(source_lines: DataFrame) -> DataFrame:
-    """(file_id, line_no, domain): lines that read from outside, each with the first domain that fits."""
-    low = F.lower("line")
-    domain = F.lit(None).cast("string")
+def source_domain(line: Column) -> Column:
+    """The first domain from which a line reads, null for none."""
+    low, domain = F.lower(line), F.lit(None).cast("string")
     for name, needles in reversed(SOURCES.items()):
         domain = F.when(any_of(low, needles), name).otherwise(domain)
-    return source_lines.select("file_id", "line_no", domain.alias("domain")).where("domain is not null")
+    return domain
+
+
+def sinks(source_lines: DataFrame) -> DataFrame:
+    """(file_id, line_no, cwe, line): lines that call a sink."""
+    return source_lines.select("file_id", "line_no", sink_weakness(F.col("line")).alias("cwe"), "line").where("cwe is not null")
+
+
+def sources(source_lines: DataFrame) -> DataFrame:
+    """(file_id, line_no, domain): lines that read from outside."""
+    return source_lines.select("file_id", "line_no", source_domain(F.col("line")).alias("domain")).where("domain is not null")
 
 
 def suppressed(source_lines: DataFrame, marker: str = SUPPRESSION) -> DataFrame:
@@ -99,12 +107,12 @@ def guarded_sinks(source_lines: DataFrame, window: int = 50) -> DataFrame:
 def nearest_source(source_lines: DataFrame) -> DataFrame:
     """(file_id, line_no, cwe, distance): each sink line and the lines back to the nearest source at or above it; -1 where there is none.
 
-    An as-of join by a running maximum, without pairing sources and sinks.
+    An as-of join by a running maximum over marked lines, without pairing sources and sinks.
     """
-    marked = source_lines.join(sources(source_lines).select("file_id", "line_no", F.lit(True).alias("is_source")), ["file_id", "line_no"], "left")
-    last = F.max(F.when(F.col("is_source"), F.col("line_no"))).over(Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    near = marked.withColumn("last", last).select("file_id", "line_no", "last")
-    return sinks(source_lines).join(near, ["file_id", "line_no"]).select("file_id", "line_no", "cwe", F.coalesce(F.col("line_no") - F.col("last"), F.lit(-1)).alias("distance"))
+    line = F.col("line")
+    marked = source_lines.select("file_id", "line_no", sink_weakness(line).alias("cwe"), F.when(source_domain(line).isNotNull(), F.col("line_no")).alias("read_at")).where("cwe is not null or read_at is not null")
+    last = F.max("read_at").over(Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("last", last).where("cwe is not null").select("file_id", "line_no", "cwe", F.coalesce(F.col("line_no") - F.col("last"), F.lit(-1)).alias("distance"))
 
 
 def last_assignment(assigned: DataFrame, uses: DataFrame) -> DataFrame:
