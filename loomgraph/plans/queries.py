@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import features, findings, incremental, log_templates, metrics, program, scoring, taint, textscan
+from ..operators import features, findings, incremental, log_templates, metrics, program, reaching, scoring, taint, textscan, typing
 from ..session import table
 from ..sources import code, folded, frontends, scopes
 from . import rules
@@ -284,6 +284,32 @@ def property_algorithms(spark: SparkSession, folder: str) -> DataFrame:
     return textscan.property_algorithms(source_lines, code.assignments(source_lines))
 
 
+def type_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return typing.inheritance(_lines(spark, folder)).groupBy("parent").agg(F.count(F.lit(1)).alias("children"))
+
+
+def route_handlers(spark: SparkSession, folder: str) -> DataFrame:
+    return typing.routes(_lines(spark, folder))
+
+
+def reaching_definitions(spark: SparkSession, folder: str) -> DataFrame:
+    return reaching.reaching(_files(spark, folder)).groupBy("file_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("definition") < 0).alias("from_outside"))
+
+
+def finding_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Sink lines with the lines back from them."""
+    found = textscan.sinks(_lines(spark, folder)).join(_files(spark, folder).select("file_id", "code"), "file_id")
+    return reaching.traced(found)
+
+
+def flow_allowance(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of sources and weaknesses in one file, whether data of the one may lead to the other, and in how many files."""
+    source_lines = _lines(spark, folder)
+    read = textscan.sources(source_lines).select("file_id", "domain").distinct()
+    sunk = textscan.sinks(source_lines).select("file_id", "cwe").distinct()
+    return typing.allowed_flows(read.join(sunk, "file_id")).groupBy("domain", "cwe", "allowed").agg(F.count(F.lit(1)).alias("files"))
+
+
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
     """Events as instruction streams: one method a user, in order of time."""
     events = table(spark, folder, "events")
@@ -403,7 +429,8 @@ def queries() -> dict[str, Query]:
     plain = (
         line_counts, import_counts, import_targets, rule_matches, text_findings, findings_by_weakness, severe_findings, literal_credentials, weak_cryptography, response_headers, sink_lines, source_domains,
         suppressed_lines, guarded_sinks, nearest_source, last_assignment, return_contexts, unsupported_constructs, baseline_status, fingerprints, finding_ids, confusion, matthews, matched_truth, cohorts,
-        sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, decided_branches, symbol_kinds, function_mentions, property_algorithms, event_blocks, event_flows, event_contexts,
+        sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, decided_branches, symbol_kinds, function_mentions, property_algorithms,
+        type_pairs, route_handlers, reaching_definitions, finding_traces, flow_allowance, event_blocks, event_flows, event_contexts,
         place_ancestors, supplier_components, brand_tiers, bound_words, shared_parts, keyword_features, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
     )
     return {
@@ -440,6 +467,7 @@ def oracle_sql() -> dict[str, str]:
         "response_headers": f"WITH {_LINES}{_HEADER} SELECT cwe, count(*) AS lines FROM headers GROUP BY cwe",
         "sink_lines": f"WITH {_LINES}{_NEAR} SELECT file_id, cwe, count(*) AS sinks, min(line_no) AS first_line FROM sunk GROUP BY file_id, cwe",
         "source_domains": f"WITH {_LINES} SELECT domain, count(*) AS sources, count(DISTINCT file_id) AS files FROM (SELECT file_id, {_SOURCE_SQL} AS domain FROM lines) WHERE domain IS NOT NULL GROUP BY domain",
+        "flow_allowance": f"WITH {_LINES}, r AS (SELECT DISTINCT file_id, domain FROM (SELECT file_id, {_SOURCE_SQL} AS domain FROM lines) WHERE domain IS NOT NULL), s AS (SELECT DISTINCT file_id, cwe FROM (SELECT file_id, {_SINK_SQL} AS cwe FROM lines) WHERE cwe IS NOT NULL), ok(domain, cwe) AS (VALUES " + ", ".join(f"('{d}', '{c}')" for d, cwes in typing.ALLOWED.items() for c in cwes) + ") SELECT domain, cwe, EXISTS (SELECT 1 FROM ok WHERE ok.domain = r.domain AND ok.cwe = s.cwe) AS allowed, count(*) AS files FROM r JOIN s USING (file_id) GROUP BY ALL",
         "suppressed_lines": f"WITH {_LINES} SELECT file_id, line_no FROM (SELECT file_id, line_no, contains(regexp_extract(line, '(?s)(?://|#)(.*)\\z', 1), 'before the') AS m, lag(contains(regexp_extract(line, '(?s)(?://|#)(.*)\\z', 1), 'before the'), 1, false) OVER (PARTITION BY file_id ORDER BY line_no) AS b FROM lines) WHERE m OR b",
         "guarded_sinks": f"WITH {_LINES}, g AS (SELECT file_id, line_no, line, coalesce({guard}, 0) AS guards FROM lines) SELECT file_id, line_no, guards::BIGINT AS guards FROM g WHERE {_like('lower(line)', dict(textscan.SINKS)['CWE-22'])}",
         "nearest_source": f"WITH {_LINES}{_NEAR} SELECT file_id, line_no, cwe, distance FROM near",
