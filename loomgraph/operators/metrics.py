@@ -34,9 +34,11 @@ def matthews(rows: DataFrame, *by: str) -> DataFrame:
 def matched_truth(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Findings (file_id, line_no, cwe) with the label of their file whose line is theirs, or of the whole file (line 0); the exact line first.
 
-    Findings without a label keep null and count as false positives.
+    Findings without a label keep null and count as false positives.  Of several
+    labels of one place, vulnerable counts.
     """
-    labels = truth.select(F.col("file_id").alias("t_file"), F.col("line_no").alias("t_line"), "vulnerable")
-    joined = found.join(labels, (F.col("file_id") == F.col("t_file")) & ((F.col("t_line") == 0) | (F.col("t_line") == F.col("line_no"))), "left")
-    best = F.max_by("vulnerable", F.coalesce("t_line", F.lit(-1)))
-    return joined.groupBy("file_id", "line_no", "cwe").agg(best.alias("vulnerable"))
+    # Two equi-joins, by line and by file: labels of a file are never all paired with its findings.
+    by_line = truth.where("line_no != 0").groupBy("file_id", "line_no").agg(F.max("vulnerable").alias("exact"))
+    by_file = truth.where("line_no = 0").groupBy("file_id").agg(F.max("vulnerable").alias("whole"))
+    joined = found.select("file_id", "line_no", "cwe").distinct().join(by_line, ["file_id", "line_no"], "left").join(by_file, "file_id", "left")
+    return joined.select("file_id", "line_no", "cwe", F.coalesce("exact", "whole").alias("vulnerable"))

@@ -59,7 +59,8 @@ def call_edges(code: DataFrame, methods: DataFrame) -> DataFrame:
     """
     sites = code.where("kind in ('Call', 'Alloc')").select("file_id", "method", "pos", "callee")
     known = methods.select("file_id", F.col("method").alias("target"), F.element_at(F.split("method", r"\."), -1).alias("last")).distinct()
-    exact = sites.join(known, ["file_id"]).where((F.col("callee") == F.col("target")) | (F.concat("callee", F.lit(".__init__")) == F.col("target"))).select("file_id", "method", "pos", F.col("target").alias("callee_method"), F.lit(1).alias("tier"))
+    named = sites.withColumn("target", F.explode(F.array("callee", F.concat("callee", F.lit(".__init__")))))
+    exact = named.join(known, ["file_id", "target"]).select("file_id", "method", "pos", F.col("target").alias("callee_method"), F.lit(1).alias("tier"))
     by_name = sites.withColumn("last", F.element_at(F.split("callee", r"\."), -1)).join(known, ["file_id", "last"]).select("file_id", "method", "pos", F.col("target").alias("callee_method"), F.lit(2).alias("tier"))
     return tiered(exact.unionByName(by_name), ["file_id", "method", "pos"])
 
