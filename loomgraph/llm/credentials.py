@@ -87,10 +87,26 @@ def strong(value: str) -> bool:
     return len(value) >= 6 and bool(_STRONG.search(value))
 
 
-_HINT = re.compile(
-    r"(?i:passw|passphrase|passcode|pwd|secret|token|api[_.-]?key|auth[_.-]?key|access[_.-]?key|account[_.-]?key|signing|encryption[_.-]?key|private[_.-]?key|credential|db[_.]?pass|user[_.]?pass|[_.-]pass\b|bindpw|adminpw|rootpw|userpw|dbpw|deploypat|storagesas|accountsas|authorization|hmac|login|authenticate|sign_in|getconnection)"
-    r"|[_.-](?:pw|PW|pat|PAT|sas|SAS)\b|(?:Pw|Pat|Sas|Pass)\b|PRIVATE KEY|://[^/\s\"'@]{0,200}:[^/\s\"'@]{1,200}@|AKIA|ASIA|gh[opsur]_|glpat-|xox[abprs]-|[sr]k_(?:live|test)_|AIza|eyJ|\"\.equals\(|\.bind\(|_(?:pat|tok|key)_\w{10}"
+#: What a text without credentials mostly lacks, sought as plain substrings: in any case, and as written.
+_SIGNS = (
+    *"passw passphrase passcode pwd secret token signing credential bindpw adminpw rootpw userpw dbpw deploypat storagesas accountsas authorization hmac login authenticate sign_in getconnection".split(),
+    *(f"{word}{mark}key" for word in ("api", "auth", "access", "account", "encryption", "private", "master", "shared") for mark in ("", "_", "-", ".")),
+    *("dbpass", "db_pass", "db.pass", "userpass", "user_pass", "user.pass", "_pass", ".pass", "-pass", "basic_auth", "basicauth"),
 )
+_MARKS = ("PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "eyJ", '".equals(', ".bind(", ".connect(", "_pat_", "_tok_", "_key_")
+_SHORT_SIGN = re.compile(r"[_.-](?:pw|PW|pat|PAT|sas|SAS|psk|PSK|pin|PIN)\b|(?:Pw|Pat|Sas|Pass|Psk|Pin)\b")
+
+
+def _hinted(text: str) -> bool:
+    """Whether a text may hold a credential at all."""
+    low = text.lower()
+    if any(sign in low for sign in _SIGNS) or any(mark in text for mark in _MARKS):
+        return True
+    if "://" in text and "@" in text:
+        return True
+    return _SHORT_SIGN.search(text) is not None
+
+
 _STRINGS = r'"""(?:\\.|[^\\])*?"""' + r"|'''(?:\\.|[^\\])*?'''" + r'|"(?:\\.|[^"\\\n])*"' + r"|'(?:\\.|[^'\\\n])*'"
 _PYTHON = re.compile(rf"(?P<comment>#[^\n]*)|(?P<string>{_STRINGS})", re.DOTALL)
 _JAVA = re.compile(rf"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>{_STRINGS})", re.DOTALL)
@@ -227,7 +243,7 @@ def _text_findings(code: str, start: int, end: int, comment: bool, found: list[F
 
 def credentials(code: str, java: bool) -> list[Finding]:
     """All credentials of a code in order; values found in several ways count once."""
-    if not code or not _HINT.search(code):
+    if not code or not _hinted(code):
         return []
     found: list[Finding] = []
     covered = 0
@@ -236,7 +252,7 @@ def credentials(code: str, java: bool) -> list[Finding]:
         if start < covered:
             continue
         if m.lastgroup == "comment":
-            if _HINT.search(code, start, end):
+            if _hinted(code[start:end]):
                 _text_findings(code, start, end, True, found)
             continue
         low, high = _inner(code, start, end)
