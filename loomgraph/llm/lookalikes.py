@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import parallel
+from ..session import checkpointed, parallel
 
 # Letters of other alphabets and the Latin letters they look like.
 LOOKALIKES = {
@@ -88,17 +88,19 @@ def consistent(documents: DataFrame) -> DataFrame:
 def found(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b): pairs of documents of one consistent form whose characters differ.
 
-    Null texts pair with nothing.  Only digests of forms and texts are shuffled.
-    Documents are first counted by form: the join holds only forms that occur in
-    several spellings, so exact copies alone meet nothing.
+    Null texts pair with nothing, nor do rows without an id.  Only digests of forms
+    and texts are shuffled, and only forms that occur in several spellings are joined.
     """
     sql = f"SELECT doc_id, md5({expression('text')}) AS form, md5(text) AS exact FROM batch"
-    keys = _in_duckdb(parallel(documents.select("doc_id", "text").where("text is not null")), sql, "doc_id bigint, form string, exact string").select("doc_id", F.unhex("form").alias("form"), F.unhex("exact").alias("exact"))
+    keys = checkpointed(_in_duckdb(parallel(documents.select("doc_id", "text").where("doc_id is not null and text is not null")), sql, "doc_id bigint, form string, exact string").select("doc_id", F.unhex("form").alias("form"), F.unhex("exact").alias("exact")))
     several = keys.groupBy("form").agg(F.min("exact").alias("low"), F.max("exact").alias("high")).where("low != high").select("form")
     live = keys.join(several, "form")
-    a = live.select("form", F.col("doc_id").alias("doc_a"), F.col("exact").alias("exact_a"))
-    b = live.select("form", F.col("doc_id").alias("doc_b"), F.col("exact").alias("exact_b"))
-    return a.join(b, "form").where("doc_a < doc_b and exact_a != exact_b").select("doc_a", "doc_b")
+    # Spellings are paired, not documents: copies of one text never meet each other.
+    spellings = live.select("form", "exact").distinct()
+    pairs = spellings.select("form", F.col("exact").alias("one")).join(spellings.select("form", F.col("exact").alias("two")), "form").where("one < two").select("one", "two")
+    owners = live.select("exact", "doc_id")
+    both = pairs.join(owners.select(F.col("exact").alias("one"), F.col("doc_id").alias("x")), "one").join(owners.select(F.col("exact").alias("two"), F.col("doc_id").alias("y")), "two")
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
 
 FOUND_SQL = f"""
