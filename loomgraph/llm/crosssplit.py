@@ -1,27 +1,17 @@
 """Code of evaluation splits that occurs, the same or nearly so, in the training split.
 
-Winnowing: each run of three tokens has a rolling hash; in every window of
-successive runs (of 4, 8 or 12 by the code's length) the least is selected as a
-fingerprint.  Runs are ordered by how
-often they occur in the whole corpus (a count table of fixed size) and then by
-hash, so that a window's minimum is its rarest run and common boilerplate is
-selected only where a window holds nothing else.  Codes of the two sides that
-share a fingerprint are candidates.  Candidates are sieved by a bit sketch; for
-the rest the seeds are chained collinearly, extended along their diagonals to
-matched stretches, and the share of common runs is computed exactly.
-
-A table of fixed size tells which runs occur on both sides at all; fingerprints
-whose run the other side lacks are not sent.  A fingerprint shared by more than HOT
-pairs gives no candidates by itself.  Pairs that share nothing else consist mostly
-of such runs; codes of which at least HOT_SHARE of the windows have a minimum that
-frequent therefore also give their least (1 - threshold) n + 1 runs as keys.  Two
-codes of the threshold's similarity share at least one of those (prefix
-filtering), so none is lost.
-
-Any stretch of common tokens as long as the longer code's window and two more gives
-a common fingerprint: a run that is least in a window is least in any shorter window
-around it.  What no window guarantees is a pair just above the threshold whose edits
-lie evenly, less than a window apart; none occurs in the data at hand.
+Each run of three tokens has a hash.  Runs are ordered by how often they occur in
+the whole corpus (a count table of fixed size) and then by hash, rarest first.  A
+code gives its least (1 - threshold) n + 1 runs as keys: two codes of the threshold's
+similarity share one of those at least (prefix filtering), wherever their edits lie
+and however many codes share it.  A common run that is the i-th of one code's n leaves
+n - i runs to share at most; pairs whose ranks leave too few for the threshold are no
+candidates.  Candidates are sieved by a bit sketch; for the rest all common runs are
+chained collinearly, extended along their diagonals to matched stretches, and the
+share of common runs is computed exactly.
+
+A table of fixed size tells which runs occur on both sides at all; keys whose run the
+other side lacks are not sent.  No key is dropped for being frequent.
 """
 
 from __future__ import annotations
@@ -38,11 +28,11 @@ from ..session import checkpointed, parallel
 from . import shingles
 from .frequency import SIDE_BITS, kept, members, side_flags, sided_table
 
-#: Windows by the number of runs of a code: short codes have short windows, so that a few edits leave some whole.
-WINDOWS = ((0, 4), (80, 8), (160, 12))
 THRESHOLD = 0.6
-HOT = 300
-HOT_SHARE = 0.5
+#: Bounds of an earlier selection by windows; nothing is bounded by them now, only tests set them.
+HOT, HOT_SHARE = 300, 0.0
+#: The low bits of a key hold the run's rank in its code, capped.
+RANK_BITS = 16
 SKETCH_BITS = 256
 #: Sketches estimate the similarity with a deviation of about 0.05 at 0.6; pairs below this estimate are five deviations off.
 SKETCH_LEAST = 0.35
@@ -70,22 +60,8 @@ def rarity_keys(h: np.ndarray, counts: np.ndarray, flags: np.ndarray) -> np.ndar
     return (count << np.uint64(40)) | ((shingles.mix(h) >> np.uint64(24)) & np.uint64(2**40 - 4)) | sides
 
 
-def _selected(key: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The minima of the windows of each code, by its length; ordered by code."""
-    runs = np.bincount(which)[which]
-    parts = []
-    for i, (least, window) in enumerate(WINDOWS):
-        most = WINDOWS[i + 1][0] if i + 1 < len(WINDOWS) else np.inf
-        own = (runs >= least) & (runs < most)
-        if own.any():
-            parts.append(shingles.window_minima(key[own], which[own], window))
-    low, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(at, kind="stable")
-    return low[order], at[order]
-
-
 def fingerprints(codes: DataFrame, table: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
-    """Each code's set identity `sig`, number of distinct runs `n`, sketch, and keys: even ones are fingerprints, odd ones those of prefix filtering.
+    """Each code's set identity `sig`, number of distinct runs `n`, sketch, and keys of prefix filtering: a run's hash, in the low RANK_BITS its rank.
 
     `codes` has `train` and `code`, and other columns, which are kept.  `table` is
     the corpus's sided table.  Codes of fewer than three tokens have no run, resemble
@@ -108,29 +84,17 @@ def fingerprints(codes: DataFrame, table: Broadcast, threshold: float = THRESHOL
                 size = len(present)
                 # Which flag a run needs: the other side's.
                 other = np.where(np.array(part.column("train").to_pylist(), bool)[present], 1, 2).astype(np.uint64)
-                key = rarity_keys(h, counts, flags)
-                low, at = _selected(key, which)
-                # More than HOT pairs need a run in at least 2 sqrt(HOT) codes.
-                hot = (low >> np.uint64(40)) >= 2 * HOT**0.5
-                share = np.bincount(at, weights=hot, minlength=size) / np.bincount(at, minlength=size)
-                met = (low & other[at]) > 0
-                low, at = shingles.distinct(low[met], at[met])
                 sets, owner = shingles.distinct_runs(h, which)
                 n = np.bincount(owner, minlength=size)
                 starts = np.cumsum(n) - n
                 sig = shingles.mix(np.add.reduceat(shingles.mix(sets), starts) + n.astype(np.uint64))
-                # The keys of prefix filtering, only of codes that are mostly boilerplate.
-                chosen = share >= HOT_SHARE
-                in_rest = chosen[owner]
-                rank_key, rank_owner = shingles.distinct(rarity_keys(sets[in_rest], counts, flags), owner[in_rest])
+                rank_key, rank_owner = shingles.distinct(rarity_keys(sets, counts, flags), owner)
                 rank = np.arange(len(rank_key)) - np.searchsorted(rank_owner, rank_owner)
                 prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
                 first = (rank < prefix[rank_owner]) & ((rank_key & other[rank_owner]) > 0)
-                rest, rest_at = rank_key[first], rank_owner[first]
-                odd = np.uint64(1)
-                key = np.concatenate([shingles.mix(low) & ~odd, shingles.mix(rest) | odd])
-                owner_of = np.concatenate([at, rest_at])
-                key = key[np.argsort(owner_of, kind="stable")]
+                low = np.uint64(2**RANK_BITS - 1)
+                key = (shingles.mix(rank_key[first]) & ~low) | np.minimum(rank[first].astype(np.uint64), low)
+                owner_of = rank_owner[first]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner_of, minlength=size))]), pa.int32()), pa.array(key.view(np.int64)))
                 rows = part.take(pa.array(present))
                 yield pa.RecordBatch.from_arrays(
@@ -249,18 +213,18 @@ def overlaps(codes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     # Each identity's least place, and then that row's keys and sketch: wide rows are joined by place, which never repeats.
     places = checkpointed(prints.groupBy("sig").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_held"), F.min("place").alias("place")))
     sets = prints.drop("train", "sig").join(places, "place")
-    # One row a key: the code's size and sides in one number.
-    word = (F.col("n") * 4 + F.when(F.col("in_train"), 2).otherwise(0) + F.when(F.col("in_held"), 1).otherwise(0)).cast("bigint")
-    keys = sets.select("sig", word.alias("word"), F.explode("keys").alias("fp"))
-    # One shuffle by fingerprint serves the counts, their join and the pairs.
-    keys = keys.repartition("fp").withColumn("in_train", F.col("word").bitwiseAND(2) > 0).withColumn("in_held", F.col("word").bitwiseAND(1) > 0)
-    sides = keys.groupBy("fp").agg(F.count_if("in_train").alias("a"), F.count_if("in_held").alias("b")).where("a > 0 and b > 0")
-    live = keys.join(sides, "fp").where((F.col("fp").bitwiseAND(1) > 0) | (F.col("a") * F.col("b") <= HOT))
-    size = F.shiftright("word", 2)
-    a = live.where("in_train").select("fp", F.col("sig").alias("left"), size.alias("na"))
-    b = live.where("in_held").select("fp", F.col("sig").alias("right"), size.alias("nb"))
-    sizes = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (F.col("left") != F.col("right"))
-    found = a.join(b, "fp").where(sizes).select("left", "right").distinct()
+    # One row a key: the code's size, the run's rank and the sides in one number.
+    word = F.col("n").cast("bigint") * 2 ** (RANK_BITS + 2) + F.when(F.col("in_train"), 2).otherwise(0) + F.when(F.col("in_held"), 1).otherwise(0)
+    keys = sets.select("sig", word.alias("word"), F.explode("keys").alias("key"))
+    keys = keys.select("sig", (F.col("word") + F.col("key").bitwiseAND(2**RANK_BITS - 1) * 4).alias("word"), F.shiftright("key", RANK_BITS).alias("fp"))
+    # One shuffle by key serves both sides of the join.
+    keys = keys.repartition("fp")
+    size, left_of = F.shiftright("word", RANK_BITS + 2), F.shiftright("word", RANK_BITS + 2) - F.shiftright("word", 2).bitwiseAND(2**RANK_BITS - 1)
+    a = keys.where(F.col("word").bitwiseAND(2) > 0).select("fp", F.col("sig").alias("left"), size.alias("na"), left_of.alias("ra"))
+    b = keys.where(F.col("word").bitwiseAND(1) > 0).select("fp", F.col("sig").alias("right"), size.alias("nb"), left_of.alias("rb"))
+    # The runs from the first common one on are all that a pair can share, and bound the sizes as well.
+    enough = F.least("ra", "rb") >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    found = a.join(b, "fp").where(enough & (F.col("left") != F.col("right"))).select("left", "right").distinct()
     look = sets.select("sig", F.struct(*_WORDS).alias("w"), "place")
     sieved = (
         found.join(look.select(F.col("sig").alias("left"), F.col("w").alias("lw"), F.col("place").alias("lp")), "left")

@@ -64,6 +64,27 @@ def test_found_agrees_with_all_pairs(spark, rows, hot, monkeypatch):
     assert {tuple(r) for r in got} == expected(rows) and len(got) > 5
 
 
+def pairs_of(spark, trains, helds):
+    rows = [(i, t, None, None, None, "train", None) for i, t in enumerate(trains)] + [(10_000 + i, t, None, None, None, "test", None) for i, t in enumerate(helds)]
+    got = {tuple(r) for r in crosssplit.found(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)).collect()}
+    sets = [[runs_of(t) for t in texts] for texts in (trains, helds)]
+    want = {(i, 10_000 + j) for i, x in enumerate(sets[0]) for j, y in enumerate(sets[1]) if len(x & y) >= 0.6 * len(x | y)}
+    return got, want
+
+
+def substituted(base, places, name):
+    return " ".join(f"{name}{i}" if i in places else w for i, w in enumerate(base))
+
+
+def test_a_family_of_different_near_copies_is_found_whole(spark):
+    # Every run the copies have in common is shared by far more than HOT pairs; the rarest of most windows are each copy's own.
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(320)]
+    trains, helds = ([substituted(base, set(rng.sample(range(320), k)), f"{side}{i}x") for i in range(count)] for side, count, k in (("t", 30, 22), ("h", 30, 6)))
+    got, want = pairs_of(spark, trains, helds)
+    assert got == want and len(want) > 100
+
+
 def test_report_and_empty_tables(spark, rows):
     full, none = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)
     assert crosssplit.found(none, none).count() == 0
