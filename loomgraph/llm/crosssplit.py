@@ -6,7 +6,8 @@ code gives its least (1 - threshold) n + 1 runs as keys: two codes of the thresh
 similarity share one of those at least (prefix filtering), wherever their edits lie
 and however many codes share it.  A common run that is the i-th of one code's n leaves
 n - i runs to share at most; pairs whose ranks leave too few for the threshold are no
-candidates.  Candidates are sieved by a bit sketch; for the rest all common runs are
+candidates.  Candidates are sieved by parity bitmaps, which differ in no more bits than
+the sets do in runs, so that the sieve loses none; for the rest all common runs are
 chained collinearly, extended along their diagonals to matched stretches, and the
 share of common runs is computed exactly.
 
@@ -33,22 +34,12 @@ THRESHOLD = 0.6
 HOT, HOT_SHARE = 300, 0.0
 #: The low bits of a key hold the run's rank in its code, capped.
 RANK_BITS = 16
-SKETCH_BITS = 256
-#: Sketches estimate the similarity with a deviation of about 0.05 at 0.6; pairs below this estimate are five deviations off.
-SKETCH_LEAST = 0.35
+SKETCH_BITS = 512
 
 _TRAIN = ("train",)
 _HELD = ("validation", "test")
 
 
-def _sketch(h: np.ndarray, which: np.ndarray, n: int) -> list[pa.Array]:
-    """One bit of each of SKETCH_BITS MinHash values, packed into bigints."""
-    low = shingles.bin_minima(h, which, n, SKETCH_BITS)
-    bits = (shingles.mix(low) & np.uint64(1)).astype(np.uint8)
-    words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
-    return [pa.array(words[:, i]) for i in range(words.shape[1])]
-
-
 _WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
 
@@ -97,18 +88,19 @@ def fingerprints(codes: DataFrame, table: Broadcast, threshold: float = THRESHOL
                 owner_of = rank_owner[first]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner_of, minlength=size))]), pa.int32()), pa.array(key.view(np.int64)))
                 rows = part.take(pa.array(present))
+                bits = shingles.parity_words(sets, owner, size, SKETCH_BITS)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), lists, *_sketch(sets, owner, size)],
+                    [rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), lists, *(pa.array(bits[:, i]) for i in range(len(_WORDS)))],
                     [*keep, "sig", "n", "keys", *_WORDS],
                 )
 
     return codes.mapInArrow(run, schema)
 
 
-def _agreement(left: str, right: str) -> Column:
-    """The similarity that two sketches estimate: agreeing bits, half of which agree by chance."""
+def _may_reach(left: str, right: str, sizes: Column, threshold: float) -> Column:
+    """Whether two sets of `sizes` runs in all may be similar: those that are differ in few runs, and their parity bitmaps in no more bits."""
     differ = sum((F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in _WORDS[1:]), F.bit_count(F.col(f"{left}.{_WORDS[0]}").bitwiseXOR(F.col(f"{right}.{_WORDS[0]}"))))
-    return F.lit(1.0) - differ * F.lit(2.0 / SKETCH_BITS)
+    return differ <= sizes * ((1 - threshold) / (1 + threshold)) + 1e-9
 
 
 def _chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -225,11 +217,11 @@ def overlaps(codes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     # The runs from the first common one on are all that a pair can share, and bound the sizes as well.
     enough = F.least("ra", "rb") >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
     found = a.join(b, "fp").where(enough & (F.col("left") != F.col("right"))).select("left", "right").distinct()
-    look = sets.select("sig", F.struct(*_WORDS).alias("w"), "place")
+    look = sets.select("sig", "n", F.struct(*_WORDS).alias("w"), "place")
     sieved = (
-        found.join(look.select(F.col("sig").alias("left"), F.col("w").alias("lw"), F.col("place").alias("lp")), "left")
-        .join(look.select(F.col("sig").alias("right"), F.col("w").alias("rw"), F.col("place").alias("rp")), "right")
-        .where(_agreement("lw", "rw") >= SKETCH_LEAST)
+        found.join(look.select(F.col("sig").alias("left"), F.col("n").alias("ln"), F.col("w").alias("lw"), F.col("place").alias("lp")), "left")
+        .join(look.select(F.col("sig").alias("right"), F.col("n").alias("rn"), F.col("w").alias("rw"), F.col("place").alias("rp")), "right")
+        .where(_may_reach("lw", "rw", F.col("ln") + F.col("rn"), threshold))
         .select("left", "right", "lp", "rp")
     )
     sieved = checkpointed(sieved)

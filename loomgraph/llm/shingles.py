@@ -167,6 +167,13 @@ def distinct(h: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], which[keep]
 
 
+def parity_words(h: np.ndarray, which: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """(n, bits / 64) words: a bitmap of each set in which each run flips one bit.  Two bitmaps differ in no more bits than their sets in runs."""
+    at = (mix(h) >> np.uint64(64 - int(bits).bit_length() + 1)).astype(np.int64)
+    flips = np.bincount(which * bits + at, minlength=n * bits).reshape(n, bits)
+    return np.packbits((flips & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
+
+
 def pair_similarity(left: pa.Array, right: pa.Array, k: int = RUN) -> np.ndarray:
     """The share of common runs in all runs of each pair of texts; 0 where neither has a run."""
     n = len(left)

@@ -85,6 +85,14 @@ def test_a_family_of_different_near_copies_is_found_whole(spark):
     assert got == want and len(want) > 100
 
 
+def test_short_codes_at_the_threshold_pass_the_sieve(spark):
+    # 8 runs each, 6 of them common: a similarity of 0.6 exactly.
+    trains = [" ".join(f"a{i}_{j}" for j in range(10)) for i in range(200)]
+    helds = [" ".join([f"x{i}"] + t.split()[1:-1] + [f"y{i}"]) for i, t in enumerate(trains)]
+    got, want = pairs_of(spark, trains, helds)
+    assert got == want and len(want) == 200
+
+
 def test_report_and_empty_tables(spark, rows):
     full, none = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], SCHEMA)
     assert crosssplit.found(none, none).count() == 0
