@@ -33,6 +33,12 @@ def count_table(codes: DataFrame, column: str, bits: int = BITS, k: int = shingl
     return codes.sparkSession.sparkContext.broadcast(_gathered(codes, column, None, bits, k)[0])
 
 
+def repeated_table(codes: DataFrame, column: str, bits: int = BITS, k: int = shingles.RUN) -> Broadcast:
+    """The counts as above, and a bitmap of 2**SIDE_BITS cells in which two runs or more fall."""
+    counts, bitmaps = _gathered(codes, column, None, bits, k, True)
+    return codes.sparkSession.sparkContext.broadcast((counts, np.split(bitmaps, 2)[1]))
+
+
 def sided_table(codes: DataFrame, column: str, side: str, bits: int = BITS, k: int = shingles.RUN) -> Broadcast:
     """The counts as above, and a table of 2**SIDE_BITS cells of a byte: bit 0 where a run of a row whose boolean `side` is false falls in the cell, bit 1 where one of a true row does.
 
@@ -48,10 +54,10 @@ def side_flags(bitmaps: np.ndarray) -> np.ndarray:
     return no | (yes << 1)
 
 
-def _gathered(codes: DataFrame, column: str, side: str | None, bits: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(codes: DataFrame, column: str, side: str | None, bits: int, k: int, repeats: bool = False) -> tuple[np.ndarray, np.ndarray]:
     def partial(batches):
         total = np.zeros(1 << bits, np.uint32)
-        seen = np.zeros((2, 1 << SIDE_BITS if side else _SLICES * 8), bool)
+        seen = np.zeros((2, 1 << SIDE_BITS if side or repeats else _SLICES * 8), bool)
         for batch in batches:
             for part in shingles.pieces(batch, column):
                 h, which, _ = shingles.runs(part.column(column), k)
@@ -61,7 +67,14 @@ def _gathered(codes: DataFrame, column: str, side: str | None, bits: int, k: int
                     cell = (h >> np.uint64(64 - SIDE_BITS)).astype(np.int64)
                     seen[0, cell[~yes]] = True
                     seen[1, cell[yes]] = True
+                elif repeats:
+                    cell = np.sort((h >> np.uint64(64 - SIDE_BITS)).astype(np.uint32))
+                    seen[1, cell[seen[0, cell]]] = True
+                    seen[1, cell[1:][cell[1:] == cell[:-1]]] = True
+                    seen[0, cell] = True
         packed = np.packbits(seen, axis=None)
+        if repeats:  # a slice has its part of both bitmaps
+            packed = np.concatenate([x for pair in zip(*(np.split(y, _SLICES) for y in np.split(packed, 2)), strict=True) for x in pair])
         yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(_slices(total), pa.binary()), pa.array(_slices(packed), pa.binary())], ["slice", "counts", "seen"])
 
     def merged(batches):
@@ -71,7 +84,15 @@ def _gathered(codes: DataFrame, column: str, side: str | None, bits: int, k: int
             for at, x, y in zip(batch.column("slice").to_pylist(), batch.column("counts"), batch.column("seen"), strict=True):
                 counts = np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32).astype(np.uint64)
                 seen = np.frombuffer(zlib.decompress(y.as_buffer()), np.uint8)
-                totals[at] = [totals[at][0] + counts, totals[at][1] | seen] if at in totals else [counts, seen]
+                if at not in totals:
+                    totals[at] = [counts, seen]
+                    continue
+                old = totals[at][1]
+                either = old | seen
+                if repeats:  # what falls in a cell in two tasks is repeated
+                    half = len(seen) // 2
+                    either[half:] |= old[:half] & seen[:half]
+                totals[at] = [totals[at][0] + counts, either]
         counts = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x, _ in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(counts, pa.binary()), pa.array([y.tobytes() for _, y in totals.values()], pa.binary())], ["slice", "counts", "seen"])
 
@@ -79,10 +100,12 @@ def _gathered(codes: DataFrame, column: str, side: str | None, bits: int, k: int
     columns = [column, side] if side else [column]
     rows = codes.select(*columns).mapInArrow(partial, schema).repartition("slice").mapInArrow(merged, schema).collect()
     counts = [np.zeros((1 << bits) // _SLICES, np.uint32)] * _SLICES
-    seen = [np.zeros((2 << SIDE_BITS if side else _SLICES * 16) // 8 // _SLICES, np.uint8)] * _SLICES
+    seen = [np.zeros((2 << SIDE_BITS if side or repeats else _SLICES * 16) // 8 // _SLICES, np.uint8)] * _SLICES
     for row in rows:
         counts[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
         seen[row["slice"]] = np.frombuffer(row["seen"], np.uint8)
+    if repeats:
+        seen = [x for half in zip(*(np.split(y, 2) for y in seen), strict=True) for x in half]
     return np.concatenate(counts), np.concatenate(seen)
 
 

@@ -1,19 +1,19 @@
-"""Groups of near-duplicate codes, by banded MinHash and odd sketches.
-
-Each code's set of three-token runs is sampled twice.  BANDS * ROWS samples, drawn
-with a weight of one over the square root of a run's count in the corpus (from a
-count table of fixed size), are banded: codes that agree on all rows of a band
-share a bucket.  Weights keep boilerplate from filling buckets.  PARITY_SAMPLES
-plain MinHash samples are folded into a parity bitmap, the odd sketch; the
-population count of two sketches' XOR estimates the similarity, and pairs of a
-bucket well below the threshold are dropped.  The rest are compared exactly.
-
-A bucket of more than BUCKET codes isn't paired: each of its codes is compared
-with the bucket's first.  Those that prove similar are linked through it.  Of the
-others, codes most of whose buckets are small meet their like there.  A code with at
-least a quarter of its bands in large buckets is compared with all of each, so that
-no link between groups is lost and a large group of similar codes costs one pair a
-code.
+"""Groups of near-duplicate codes, by keys of prefix filtering and odd sketches.
+
+The runs of three tokens of a code are ordered by how often they occur in the whole
+corpus (a count table of fixed size) and then by hash, rarest first.  A code gives its
+least (1 - threshold) n + 1 runs as keys: two codes of the threshold's similarity
+share one of those at least, however large the corpus or their family.  A run that no
+other code can have, by a bitmap of fixed size, is not sent.  A common run that is the
+i-th of one code's n leaves n - i runs to share at most; pairs whose ranks leave too
+few are no candidates.  MinHash samples are folded into a parity bitmap, the odd
+sketch; pairs estimated well below the threshold are dropped.  The rest are compared
+exactly.
+
+The codes of a key that more than BUCKET have aren't paired at first: those with many
+such keys are compared with the key's first.  Then all its codes that aren't yet
+connected are paired, so that no link between groups is lost and a large group of
+similar codes costs few pairs a code.
 """
 
 from __future__ import annotations
@@ -27,15 +27,18 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import checkpointed, parallel
 from . import shingles
-from .frequency import count_table, kept
+from .frequency import SIDE_BITS, kept
 from .frequency import members as in_use
+from .frequency import repeated_table
 
 THRESHOLD = 0.6
-BANDS, ROWS = 48, 2
+BANDS = 48
 BUCKET = 100
 PARITY_SAMPLES, PARITY_BITS = 256, 512
 #: A pair of similarity 0.6 has an estimate below this about once in 100,000 times.
 SKETCH_LEAST = 0.42
+#: The low bits of a key hold the run's rank in its code, capped.
+RANK_BITS = 16
 
 _WORDS = [f"o{i}" for i in range(PARITY_BITS // 64)]
 
@@ -48,40 +51,22 @@ def parity(samples: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
 
 
-def weighted_bands(sets: np.ndarray, owner: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
-    """(n, BANDS) keys; each stands for ROWS runs sampled by weight, 0 where a code has too few."""
-    bits = int(len(table)).bit_length() - 1
-    weight = np.sqrt(np.maximum(table[(sets >> np.uint64(64 - bits)).astype(np.int64)], 1).astype(np.float64))
-    samples = BANDS * ROWS
-    # One permutation per half: runs fall into bins, in each bin the least exponential key is the sample.
-    bins, rounds = samples // 2, 2
-    picked = np.zeros((n, samples), np.uint64)
-    for r in range(rounds):
-        h = shingles.mix(sets ^ np.uint64(0xA0761D6478BD642F * (r + 1) % 2**64))
-        cell = owner * bins + (h % np.uint64(bins)).astype(np.int64)
-        key = -np.log(((shingles.mix(h) >> np.uint64(11)).astype(np.float64) + 1.0) * 2.0**-53) * weight
-        # Positive floats are in the order of their bits: the high half of them, then the run's place.
-        ranked = (key.view(np.uint64) & np.uint64(2**64 - 2**32)) | np.arange(len(key), dtype=np.uint64)
-        least = np.full(n * bins, np.uint64(2**64 - 1))
-        np.minimum.at(least, cell, ranked)
-        full = least != np.uint64(2**64 - 1)
-        flat = np.zeros(n * bins, np.uint64)
-        flat[full] = sets[(least[full] & np.uint64(2**32 - 1)).astype(np.int64)] | np.uint64(1)
-        picked[:, r * bins : (r + 1) * bins] = flat.reshape(n, bins)
-    # A short code leaves bins empty; they take the next sample around, so that equal sets keep equal keys.
-    full = picked.any(axis=1)
-    gaps = (picked == 0) & full[:, None]
-    while gaps.any():
-        picked = np.where(gaps, np.roll(picked, -1, axis=1), picked)
-        gaps = (picked == 0) & full[:, None]
-    keys = np.zeros((n, BANDS), np.uint64)
-    for row in range(ROWS):
-        keys = shingles.mix(keys * np.uint64(0xD6E8FEB86659FD93) + picked[:, row::ROWS])
-    return shingles.mix(keys + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0x2545F4914F6CDD1D))
-
-
-def sketches(codes: DataFrame, table: Broadcast) -> DataFrame:
-    """Each code's set identity `sig`, number of runs `n`, band keys and odd sketch; other columns than `code` are kept.
+def prefix_keys(sets: np.ndarray, owner: np.ndarray, n: np.ndarray, counts: np.ndarray, repeated: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(key, owner) of the rarest (1 - threshold) n + 1 runs of each set but those of no other: the run's hash, in the low RANK_BITS its rank."""
+    bits = int(len(counts)).bit_length() - 1
+    count = np.minimum(counts[(sets >> np.uint64(64 - bits)).astype(np.int64)], 2**24 - 1).astype(np.uint64)
+    cell = (sets >> np.uint64(64 - SIDE_BITS)).astype(np.int64)
+    other = ((repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(np.uint64)
+    ordered, owner = shingles.distinct((count << np.uint64(40)) | ((shingles.mix(sets) >> np.uint64(24)) & np.uint64(2**40 - 2)) | other, owner)
+    rank = np.arange(len(ordered)) - np.searchsorted(owner, owner)
+    prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+    first = (rank < prefix[owner]) & ((ordered & np.uint64(1)) > 0)
+    low = np.uint64(2**RANK_BITS - 1)
+    return (shingles.mix(ordered[first]) & ~low) | np.minimum(rank[first].astype(np.uint64), low), owner[first]
+
+
+def sketches(codes: DataFrame, table: Broadcast, threshold: float) -> DataFrame:
+    """Each code's set identity `sig`, number of runs `n`, keys and odd sketch; other columns than `code` are kept.
 
     Codes of fewer than three tokens have no run, resemble nothing, and give no row.
     """
@@ -89,7 +74,7 @@ def sketches(codes: DataFrame, table: Broadcast) -> DataFrame:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in codes.select(keep).schema)
 
     def run(batches):
-        counts = table.value
+        counts, repeated = table.value
         for batch in batches:
             for part in shingles.pieces(batch, "code"):
                 sets, owner = shingles.run_sets(part.column("code"))
@@ -99,13 +84,13 @@ def sketches(codes: DataFrame, table: Broadcast) -> DataFrame:
                 size = len(present)
                 n = np.bincount(owner, minlength=size)
                 sig = shingles.mix(np.add.reduceat(shingles.mix(sets), np.cumsum(n) - n) + n.astype(np.uint64))
-                bands = weighted_bands(sets, owner, size, counts).view(np.int64)
+                keys, of = prefix_keys(sets, owner, n, counts, repeated, threshold)
                 odd = parity(shingles.bin_minima(sets, owner, size, PARITY_SAMPLES))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=size))]), pa.int32()), pa.array(keys.view(np.int64)))
                 rows = part.take(pa.array(present))
-                yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), lists, *(pa.array(odd[:, i]) for i in range(odd.shape[1]))], [*keep, "sig", "n", "bands", *_WORDS])
+                yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), lists, *(pa.array(odd[:, i]) for i in range(odd.shape[1]))], [*keep, "sig", "n", "keys", *_WORDS])
 
-    return codes.mapInArrow(run, f"{kept}, sig bigint, n int, bands array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    return codes.mapInArrow(run, f"{kept}, sig bigint, n int, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS))
 
 
 def estimate(left: str, right: str) -> Column:
@@ -149,24 +134,39 @@ def links(codes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET,
     Rows without an id or a code take no part.
     """
     codes = codes.select("code_id", "code").where("code_id is not null and code is not null and code != ''")
-    table = count_table(parallel(codes), "code")
-    marked = checkpointed(sketches(parallel(codes), table))
+    table = repeated_table(parallel(codes), "code")
+    marked = checkpointed(sketches(parallel(codes), table, threshold))
     members = marked.select("code_id", "sig")
-    sets = checkpointed(marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), *(F.first(w).alias(w) for w in _WORDS), F.min("code_id").alias("place")))
-    keys = sets.select("sig", F.explode("bands").alias("key"))
+    sets = checkpointed(marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), *(F.first(w).alias(w) for w in _WORDS), F.min("code_id").alias("place")))
+    # One row a key: the code's size and the run's rank in one number.
+    keys = sets.select("sig", "n", F.explode("keys").alias("key"))
+    keys = keys.select("sig", (F.col("n").cast("bigint") * 2**RANK_BITS + F.col("key").bitwiseAND(2**RANK_BITS - 1)).alias("word"), F.shiftright("key", RANK_BITS).alias("key"))
     # One shuffle by key serves both the bucket sizes and the join with them.
     keys = keys.repartition("key")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("first")).where("size > 1")
     live = checkpointed(keys.join(sizes, "key"))
+
+    def side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        n = F.shiftright("word", RANK_BITS)
+        return rows.select("key", *columns, F.col("sig").alias(name), n.alias(f"{name}_n"), (n - F.col("word").bitwiseAND(2**RANK_BITS - 1)).alias(f"{name}_rest"))
+
+    # The runs from the first common one on are all that a pair can share.
+    enough = F.least("x_rest", "y_rest") >= (F.col("x_n") + F.col("y_n")) * (threshold / (1 + threshold)) - 1e-9
+    pair = (F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
     small = live.where(F.col("size") <= bucket)
-    pairs = small.select("key", F.col("sig").alias("left")).join(small.select("key", F.col("sig").alias("right")), "key").where("left < right").select("left", "right")
+    pairs = side(small, "x").join(side(small, "y"), "key").where((F.col("x") < F.col("y")) & enough).select(*pair)
     large = live.where(F.col("size") > bucket)
-    stars = large.where("sig != first").select(F.col("first").alias("left"), F.col("sig").alias("right"))
-    near = checkpointed(_compared(pairs.union(stars).distinct(), sets, codes, threshold))
     crowded = large.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= crowd).select("sig")
-    if not crowded.isEmpty():
-        far = large.where("sig != first").join(crowded, "sig", "left_semi").join(near.select(F.col("left").alias("first"), F.col("right").alias("sig")), ["first", "sig"], "left_anti").select("key", F.col("sig").alias("x"))
-        rest = far.join(large.select("key", F.col("sig").alias("y")), "key").where("x != y").select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
+    stars = large.where("sig != first").join(crowded, "sig", "left_semi").select(F.col("first").alias("left"), F.col("sig").alias("right"))
+    near = checkpointed(_compared(pairs.union(stars).distinct(), sets, codes, threshold))
+    if not large.isEmpty():
+        # All pairs of a large bucket whose codes aren't connected so far, group by group.
+        parts = connected_components(near, "left", "right").select(F.col("node").alias("sig"), "component")
+        placed = checkpointed(large.select("key", "sig", "word").join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
+        kinds = placed.select("key", "component").distinct()
+        across = kinds.withColumnRenamed("component", "xc").join(kinds.withColumnRenamed("component", "yc"), "key").where("xc < yc")
+        x, y = (side(placed.withColumnRenamed("component", f"{v}c"), v, f"{v}c") for v in "xy")
+        rest = across.join(x, ["key", "xc"]).join(y, ["key", "yc"]).where(enough).select(*pair).distinct()
         near = near.unionByName(_compared(rest, sets, codes, threshold))
     return near, members
 

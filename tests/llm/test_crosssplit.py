@@ -133,6 +133,31 @@ def test_groups_agree_with_all_pairs(spark, bucket, monkeypatch):
     assert len(groups) == len(rows) and {r["code_id"]: r["copies"] for r in groups}[0] >= 3
 
 
+def linked(texts):
+    """The links that hold exact groups of texts together, as the group's first of each text."""
+    sets, of = [runs_of(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if of[i] != of[j] and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]):
+            low, high = sorted((of[i], of[j]))
+            of = [low if x == high else x for x in of]
+    return of
+
+
+def test_a_crowd_without_a_common_centre_is_grouped_whole(spark):
+    # Chains in which each code resembles the next but not the first; all share frequent runs, so every bucket of those is large.
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for chain in range(40):
+        words = substituted(base, set(rng.sample(range(60), 11)), f"c{chain}x").split()
+        for step in range(4):
+            texts.append(" ".join(words))
+            words = substituted(words, set(rng.sample(range(60), 4)), f"c{chain}s{step}x").split()
+    rows = spark.createDataFrame(list(enumerate(texts)), "code_id bigint, code string")
+    got = {r["code_id"]: r["group_id"] for r in oddsketch.groups(rows).collect()}
+    assert [got[i] for i in range(len(texts))] == linked(texts)
+
+
 def test_groups_of_an_empty_table(spark):
     none = spark.createDataFrame([], "code_id bigint, code string")
     assert oddsketch.found(none, none).count() == 0
