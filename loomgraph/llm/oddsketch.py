@@ -6,9 +6,9 @@ least (1 - threshold) n + 1 runs as keys: two codes of the threshold's similarit
 share one of those at least, however large the corpus or their family.  A run that no
 other code can have, by a bitmap of fixed size, is not sent.  A common run that is the
 i-th of one code's n leaves n - i runs to share at most; pairs whose ranks leave too
-few are no candidates.  MinHash samples are folded into a parity bitmap, the odd
-sketch; pairs estimated well below the threshold are dropped.  The rest are compared
-exactly.
+few are no candidates.  Each set is folded into a parity bitmap, the odd sketch; two
+of them differ in no more bits than the sets in runs, so that pairs which differ in
+too many are dropped without loss.  The rest are compared exactly.
 
 The codes of a key that more than BUCKET have aren't paired at first: those with many
 such keys are compared with the key's first.  Then all its codes that aren't yet
@@ -34,9 +34,7 @@ from .frequency import repeated_table
 THRESHOLD = 0.6
 BANDS = 48
 BUCKET = 100
-PARITY_SAMPLES, PARITY_BITS = 256, 512
-#: A pair of similarity 0.6 has an estimate below this about once in 100,000 times.
-SKETCH_LEAST = 0.42
+PARITY_BITS = 512
 #: The low bits of a key hold the run's rank in its code, capped.
 RANK_BITS = 16
 
@@ -85,7 +83,7 @@ def sketches(codes: DataFrame, table: Broadcast, threshold: float) -> DataFrame:
                 n = np.bincount(owner, minlength=size)
                 sig = shingles.mix(np.add.reduceat(shingles.mix(sets), np.cumsum(n) - n) + n.astype(np.uint64))
                 keys, of = prefix_keys(sets, owner, n, counts, repeated, threshold)
-                odd = parity(shingles.bin_minima(sets, owner, size, PARITY_SAMPLES))
+                odd = shingles.parity_words(sets, owner, size, PARITY_BITS)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=size))]), pa.int32()), pa.array(keys.view(np.int64)))
                 rows = part.take(pa.array(present))
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), lists, *(pa.array(odd[:, i]) for i in range(odd.shape[1]))], [*keep, "sig", "n", "keys", *_WORDS])
@@ -93,13 +91,12 @@ def sketches(codes: DataFrame, table: Broadcast, threshold: float) -> DataFrame:
     return codes.mapInArrow(run, f"{kept}, sig bigint, n int, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS))
 
 
-def estimate(left: str, right: str) -> Column:
-    """The similarity estimated from two odd sketches: 1 + m / 4k * ln(1 - 2 d / m) for d differing of m bits and k samples."""
+def may_reach(left: str, right: str, sizes: Column, threshold: float) -> Column:
+    """Whether two sets of `sizes` runs in all may be similar: those that are differ in few runs, and their odd sketches in no more bits."""
     differ = F.lit(0)
     for w in _WORDS:
         differ = differ + F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}")))
-    rest = F.greatest(F.lit(1.0) - differ * F.lit(2.0 / PARITY_BITS), F.lit(1e-9))
-    return F.lit(1.0) + F.lit(PARITY_BITS / (4.0 * PARITY_SAMPLES)) * F.log(rest)
+    return differ <= sizes * ((1 - threshold) / (1 + threshold)) + 1e-9
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
@@ -108,7 +105,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, codes: DataFrame, threshold: fl
     sieved = checkpointed(
         pairs.join(look.select(F.col("sig").alias("left"), F.col("n").alias("ln"), F.col("w").alias("lw"), F.col("place").alias("lp")), "left")
         .join(look.select(F.col("sig").alias("right"), F.col("n").alias("rn"), F.col("w").alias("rw"), F.col("place").alias("rp")), "right")
-        .where((F.least("ln", "rn") >= F.greatest("ln", "rn") * threshold - 1e-9) & (estimate("lw", "rw") >= SKETCH_LEAST))
+        .where((F.least("ln", "rn") >= F.greatest("ln", "rn") * threshold - 1e-9) & may_reach("lw", "rw", F.col("ln") + F.col("rn"), threshold))
         .select("left", "right", "lp", "rp")
     )
     # Texts of candidates are picked out where they lie; only they are shuffled.

@@ -143,21 +143,27 @@ def linked(texts):
     return of
 
 
-def test_a_crowd_without_a_common_centre_is_grouped_whole(spark):
-    # Chains in which each code resembles the next but not the first; all share frequent runs, so every bucket of those is large.
+def test_a_crowd_without_a_common_centre_is_grouped_whole(spark, monkeypatch):
+    # Many variants of a base that isn't there, each like some others only; every shared bucket is large.
+    monkeypatch.setattr(oddsketch.links, "__defaults__", (oddsketch.THRESHOLD, 1, oddsketch.BANDS // 4))
     rng = random.Random(4)
-    base = [f"b{i}" for i in range(60)]
     texts = []
-    for chain in range(40):
-        words = substituted(base, set(rng.sample(range(60), 11)), f"c{chain}x").split()
-        for step in range(4):
-            texts.append(" ".join(words))
-            words = substituted(words, set(rng.sample(range(60), 4)), f"c{chain}s{step}x").split()
+    for family in range(6):
+        base = [f"b{family}_{i}" for i in range(320)]
+        texts += [substituted(base, set(rng.sample(range(320), rng.randint(14, 19))), f"c{family}_{k}x") for k in range(50)]
     rows = spark.createDataFrame(list(enumerate(texts)), "code_id bigint, code string")
     got = {r["code_id"]: r["group_id"] for r in oddsketch.groups(rows).collect()}
     assert [got[i] for i in range(len(texts))] == linked(texts)
 
 
+def test_short_codes_at_the_threshold_are_linked(spark):
+    texts = [" ".join(f"a{i}_{j}" for j in range(10)) for i in range(200)]
+    texts += [" ".join([f"x{i}"] + t.split()[1:-1] + [f"y{i}"]) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "code_id bigint, code string")
+    got = {r["code_id"]: r["group_id"] for r in oddsketch.groups(rows).collect()}
+    assert all(got[i + 200] == i for i in range(200))
+
+
 def test_groups_of_an_empty_table(spark):
     none = spark.createDataFrame([], "code_id bigint, code string")
     assert oddsketch.found(none, none).count() == 0
