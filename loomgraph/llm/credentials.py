@@ -87,20 +87,22 @@ def strong(value: str) -> bool:
     return len(value) >= 6 and bool(_STRONG.search(value))
 
 
-#: What a text without credentials mostly lacks, sought as plain substrings: in any case, and as written.
-_SIGNS = (
-    *"passw passphrase passcode pwd secret token signing credential bindpw adminpw rootpw userpw dbpw deploypat storagesas accountsas authorization hmac login authenticate sign_in getconnection".split(),
-    *(f"{word}{mark}key" for word in ("api", "auth", "access", "account", "encryption", "private", "master", "shared") for mark in ("", "_", "-", ".")),
-    *("dbpass", "db_pass", "db.pass", "userpass", "user_pass", "user.pass", "_pass", ".pass", "-pass", "basic_auth", "basicauth"),
-)
-_MARKS = ("PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "eyJ", '".equals(', ".bind(", ".connect(", "_pat_", "_tok_", "_key_")
-_SHORT_SIGN = re.compile(r"[_.-](?:pw|PW|pat|PAT|sas|SAS|psk|PSK|pin|PIN)\b|(?:Pw|Pat|Sas|Pass|Psk|Pin)\b")
+#: Signs of a credential, derived from the rules behind them, so that no text in which a rule finds something lacks them all.
+#: Long last words, sought in the text's ASCII letters and digits alone, as a name's words are joined; those within others aren't repeated.
+_LONG = {*ROOTS, *JOINED_SHORT}
+_SIGNS = tuple(sorted(x.encode() for x in _LONG if not any(y != x and y in x for y in _LONG)))
+_LOWERED = bytes(range(256)).lower()
+_APART = bytes(c for c in range(256) if not chr(c).isascii() or not chr(c).isalnum())
+#: Short last words, calls of logins and keys, and literals compared with something.
+_SHORT_SIGN = re.compile(rf"(?:{'|'.join(SHORT)})(?![A-Za-z])|(?:{'|'.join(LOGINS + KEYED_CALLS)})\s*\(|[\"']\s*(?:\.equals\(|[!=]=)", re.IGNORECASE)
+#: What tokens of known formats and key blocks begin with.
+_MARKS = ("PRIVATE KEY", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "AIza", "eyJ", "_pat_", "_tok_", "_key_")
 
 
 def _hinted(text: str) -> bool:
     """Whether a text may hold a credential at all."""
-    low = text.lower()
-    if any(sign in low for sign in _SIGNS) or any(mark in text for mark in _MARKS):
+    joined = text.encode(errors="replace").translate(_LOWERED, _APART)
+    if any(sign in joined for sign in _SIGNS) or any(mark in text for mark in _MARKS):
         return True
     if "://" in text and "@" in text:
         return True

@@ -1,0 +1,28 @@
+import pytest
+
+from loomgraph.llm import credentials as c
+
+VALUE = "Xk29!vvQ7z"
+NAMES = [v for x in (*c.ROOTS, *c.SHORT, *c.JOINED_SHORT) for v in (x, x.upper(), x.capitalize(), f"my_{x}", f"my{x.capitalize()}2", f"{x[:3]}_{x[3:]}", f"{x[:-3]}-{x[-3:]}", f"{x[:-3]} {x[-3:]}")]
+
+
+@pytest.mark.parametrize("code", ['cfg = {"pass": "Xk29!vv"}', 'f = Fernet(b"Xk29!vvQ7z")', 'c = {"api key": "Xk29!vvQ7z"}', 'key_id = "Xk29!vvQ7z"', 'PASS = "Xk29!vvQ7z"', 'x.logon("me", "Xk29!vvQ7z")', 'x.auth("me", "Xk29!vvQ7z")', 'new PBEKeySpec("Xk29!vvQ7z")'])
+def test_bare_cases_are_found(code):
+    assert len(c.credentials(code, False)) == 1
+
+
+def test_every_rule_has_its_sign():
+    calls = [f'{x}("me", "{VALUE}")' for x in c.LOGINS] + [f'{x}("{VALUE}")' for x in c.KEYED_CALLS] + [f'hmac.new("{VALUE}")']
+    texts = [f'{{"{n}": "{VALUE}"}}' for n in NAMES] + [f'{n} = "{VALUE}"' for n in NAMES] + [f"# {n}: {VALUE}" for n in NAMES] + calls
+    texts += [f'if "{VALUE}" == x: \n granted = True', f'if ("{VALUE}".equals(x)) \n return true']
+    hits = 0
+    hinted = c._hinted
+    for text in texts:
+        c._hinted = lambda _: True
+        try:
+            want = [f.parts for f in c.credentials(text, False)]
+        finally:
+            c._hinted = hinted
+        assert [f.parts for f in c.credentials(text, False)] == want, text
+        hits += bool(want)
+    assert hits > 300
