@@ -85,6 +85,14 @@ def test_a_family_of_different_near_copies_is_found_whole(spark):
     assert got == want and len(want) > 100
 
 
+def test_edits_spread_evenly_leave_a_pair_found(spark):
+    # An edit every 13 tokens: no window of 12 runs is common, the similarity is above the threshold.
+    trains = [" ".join(f"a{i}_{j}" for j in range(260)) for i in range(5)]
+    helds = [substituted(t.split(), set(range(6, 260, 13)), f"x{i}_") for i, t in enumerate(trains)]
+    got, want = pairs_of(spark, trains, helds)
+    assert got == want and len(want) == 5
+
+
 def test_short_codes_at_the_threshold_pass_the_sieve(spark):
     # 8 runs each, 6 of them common: a similarity of 0.6 exactly.
     trains = [" ".join(f"a{i}_{j}" for j in range(10)) for i in range(200)]
