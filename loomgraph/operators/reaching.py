@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 
 import pyarrow as pa
@@ -12,8 +13,6 @@ from ..functions.constants import folded_branches
 from ..session import parallel
 from ..sources.frontends import lower
 
-MOST = 10_000
-
 
 def definitions(rows: list[tuple]) -> list[tuple[str, int, str, int]]:
     """(method, position of a use, name, position of a definition) for all definitions that reach the use; -1 where a name may come from outside."""
@@ -74,17 +73,22 @@ def back_trace(lines: list[str], line_no: int) -> list[tuple[int, str]]:
     seen: set[int] = set()
     out: list[tuple[int, str]] = []
     work = [(line_no, name) for name in _NAMES.findall(_STRINGS.sub("", lines[line_no - 1]))] if 0 < line_no <= len(lines) else []
-    while work and len(seen) < MOST:
-        at, name = work.pop(0)
-        for i in range(at - 2, -1, -1):
-            m = _ASSIGNED.match(lines[i])
-            if m and m[1] == name:
-                if i + 1 not in seen:
-                    seen.add(i + 1)
-                    out.append((i + 1, lines[i].strip()))
-                    if not _READS.search(m[2]):
-                        work += [(i + 1, n) for n in _NAMES.findall(_STRINGS.sub("", m[2]))]
-                break
+    # The lines that set each name, in order.
+    places: dict[str, list[tuple[int, str]]] = {}
+    for i, line in enumerate(lines[: line_no - 1] if work else ()):
+        if m := _ASSIGNED.match(line):
+            places.setdefault(m[1], []).append((i, m[2]))
+    while work:
+        at, name = work.pop()
+        own = places.get(name, [])
+        k = bisect_left(own, (at - 1,)) - 1
+        if k < 0 or own[k][0] + 1 in seen:
+            continue
+        i, value = own[k]
+        seen.add(i + 1)
+        out.append((i + 1, lines[i].strip()))
+        if not _READS.search(value):
+            work += [(i + 1, n) for n in _NAMES.findall(_STRINGS.sub("", value))]
     return sorted(out, reverse=True)
 
 

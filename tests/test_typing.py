@@ -45,3 +45,9 @@ def test_traces_and_dead_lines(spark):
     frame = spark.createDataFrame([(1, 5, text), (2, 1, None)], "file_id bigint, line_no int, code string")
     assert {r["file_id"]: len(r["trace"]) for r in reaching.traced(frame).collect()} == {1: 3, 2: 0}
     assert reaching.dead_lines("n = 1\nif n > 2:\n    a()\n\n    b()\nc()\n") == [3, 5]
+
+
+def test_traces_have_no_bound():
+    lines = ["v0 = input()"] + [f"v{i} = v{i - 1}" for i in range(1, 12_001)] + ["use(v12000)"]
+    trace = reaching.back_trace(lines, len(lines))
+    assert len(trace) == 12_001 and trace[-1] == (1, "v0 = input()")
