@@ -12,7 +12,8 @@ chained collinearly, extended along their diagonals to matched stretches, and th
 share of common runs is computed exactly.
 
 A table of fixed size tells which runs occur on both sides at all; keys whose run the
-other side lacks are not sent.  No key is dropped for being frequent.
+other side lacks are not sent.  No key is dropped for being frequent; one that may be is
+split among tasks.  Keys are sent once and never written.
 """
 
 from __future__ import annotations
@@ -27,13 +28,11 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, parallel
 from . import shingles
-from .frequency import SIDE_BITS, kept, members, side_flags, sided_table
+from .frequency import BITS, kept, members, most, side_flags, sided_table
 
 THRESHOLD = 0.6
-#: Bounds of an earlier selection by windows; nothing is bounded by them now, only tests set them.
-HOT, HOT_SHARE = 300, 0.0
-#: The low bits of a key hold the run's rank in its code, capped.
-RANK_BITS = 16
+#: A run that may occur more often is split among tasks.
+SPLIT = 1 << 14
 SKETCH_BITS = 512
 
 _TRAIN = ("train",)
@@ -43,58 +42,80 @@ _HELD = ("validation", "test")
 _WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
 
 
-def rarity_keys(h: np.ndarray, counts: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """A total order of runs, rarest first: 24 bits of the count, 38 of the hash, and in the last two the sides that have the run."""
-    bits = int(len(counts)).bit_length() - 1
-    count = np.minimum(counts[(h >> np.uint64(64 - bits)).astype(np.int64)], 2**24 - 1).astype(np.uint64)
-    sides = flags[(h >> np.uint64(64 - SIDE_BITS)).astype(np.int64)].astype(np.uint64)
-    return (count << np.uint64(40)) | ((shingles.mix(h) >> np.uint64(24)) & np.uint64(2**40 - 4)) | sides
+def rarity_keys(h: np.ndarray, grades: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """A total order of runs, rarest first: 8 bits of the graded count, 54 of the hash, and in the last two the sides that have the run."""
+    cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return (grades[cell].astype(np.uint64) << np.uint64(56)) | ((shingles.mix(h) >> np.uint64(8)) & np.uint64(2**56 - 4)) | flags[cell].astype(np.uint64)
 
 
-def fingerprints(codes: DataFrame, table: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
-    """Each code's set identity `sig`, number of distinct runs `n`, sketch, and keys of prefix filtering: a run's hash, in the low RANK_BITS its rank.
+def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(runs, owner, rows that have runs, number of runs, identity) of the codes of a batch."""
+    sets, owner = shingles.run_sets(part.column("code"))
+    present, owner = np.unique(owner, return_inverse=True)
+    n = np.bincount(owner, minlength=len(present))
+    sig = shingles.mix(np.add.reduceat(shingles.mix(sets), np.cumsum(n) - n) + n.astype(np.uint64)) if len(sets) else sets
+    return sets, owner, present, n, sig
 
-    `codes` has `train` and `code`, and other columns, which are kept.  `table` is
-    the corpus's sided table.  Codes of fewer than three tokens have no run, resemble
-    nothing, and give no row.
+
+def identities(codes: DataFrame) -> DataFrame:
+    """Each code's set identity `sig`, number of distinct runs `n` and parity bitmap; other columns than `code` are kept.
+
+    Codes of fewer than three tokens have no run, resemble nothing, and give no row.
     """
     keep = [c for c in codes.columns if c != "code"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in codes.select(keep).schema)
-    schema = f"{kept}, sig bigint, n int, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS)
 
     def run(batches):
-        counts, bitmaps = table.value
+        for batch in batches:
+            for part in shingles.pieces(batch, "code"):
+                sets, owner, present, n, sig = _sets(part)
+                if len(sets):
+                    rows = part.take(pa.array(present))
+                    bits = shingles.parity_words(sets, owner, len(present), SKETCH_BITS)
+                    yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), *(pa.array(bits[:, i]) for i in range(len(_WORDS)))], [*keep, "sig", "n", *_WORDS])
+
+    return codes.mapInArrow(run, f"{kept}, sig bigint, n int, " + ", ".join(f"{w} bigint" for w in _WORDS))
+
+
+def keys(codes: DataFrame, table: Broadcast, train: bool, threshold: float, split: int) -> DataFrame:
+    """(fp, sig, n, rest): the keys of prefix filtering of one side's codes that the other side may have too.
+
+    `table` is the corpus's sided table.  `rest` is the number of runs from the key on.  A set
+    that occurs again in a task is not sent again.  A run that may occur more than `split` times
+    is split: each train set goes to one part of it, each held-out set to all.
+    """
+    other = np.uint64(1 if train else 2)
+
+    def run(batches):
+        grades, bitmaps = table.value
         flags = side_flags(bitmaps)
+        sent: set[int] = set()
         for batch in batches:
             for part in shingles.pieces(batch, "code"):
-                h, which, _ = shingles.runs(part.column("code"))
-                if not len(h):
+                sets, owner, _, n, sig = _sets(part)
+                if not len(sets):
                     continue
-                present = np.unique(which)
-                which = np.searchsorted(present, which)
-                size = len(present)
-                # Which flag a run needs: the other side's.
-                other = np.where(np.array(part.column("train").to_pylist(), bool)[present], 1, 2).astype(np.uint64)
-                sets, owner = shingles.distinct_runs(h, which)
-                n = np.bincount(owner, minlength=size)
-                starts = np.cumsum(n) - n
-                sig = shingles.mix(np.add.reduceat(shingles.mix(sets), starts) + n.astype(np.uint64))
-                rank_key, rank_owner = shingles.distinct(rarity_keys(sets, counts, flags), owner)
-                rank = np.arange(len(rank_key)) - np.searchsorted(rank_owner, rank_owner)
+                fresh = np.zeros(len(n), bool)
+                for i, s in enumerate(sig.tolist()):
+                    if s not in sent:
+                        sent.add(s)
+                        fresh[i] = True
+                key, owner = shingles.distinct(rarity_keys(sets, grades, flags), owner)
+                rank = np.arange(len(key)) - np.searchsorted(owner, owner)
                 prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-                first = (rank < prefix[rank_owner]) & ((rank_key & other[rank_owner]) > 0)
-                low = np.uint64(2**RANK_BITS - 1)
-                key = (shingles.mix(rank_key[first]) & ~low) | np.minimum(rank[first].astype(np.uint64), low)
-                owner_of = rank_owner[first]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner_of, minlength=size))]), pa.int32()), pa.array(key.view(np.int64)))
-                rows = part.take(pa.array(present))
-                bits = shingles.parity_words(sets, owner, size, SKETCH_BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), lists, *(pa.array(bits[:, i]) for i in range(len(_WORDS)))],
-                    [*keep, "sig", "n", "keys", *_WORDS],
-                )
+                first = (rank < prefix[owner]) & ((key & other) > 0) & fresh[owner]
+                key, owner, rank = key[first], owner[first], rank[first]
+                parts = np.ceil(most((key >> np.uint64(56)).astype(np.uint8)) / split).astype(np.int64)
+                parts = np.maximum(parts, 1)
+                part_of = (sig[owner] % parts.astype(np.uint64)).astype(np.int64)
+                if not train and (parts > 1).any():
+                    at = np.repeat(np.arange(len(key)), parts)
+                    part_of = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    key, owner, rank, parts = key[at], owner[at], rank[at], parts[at]
+                fp = shingles.mix(key + np.where(parts > 1, part_of, 0).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(sig[owner].view(np.int64)), pa.array(n[owner], pa.int32()), pa.array(n[owner] - rank, pa.int32())], ["fp", "sig", "n", "rest"])
 
-    return codes.mapInArrow(run, schema)
+    return codes.mapInArrow(run, "fp bigint, sig bigint, n int, rest int")
 
 
 def _may_reach(left: str, right: str, sizes: Column, threshold: float) -> Column:
@@ -200,24 +221,14 @@ def overlaps(codes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     # A code's place: its entry and field in one number.
     codes = codes.withColumn("train", train).withColumn("place", F.col("entry_id") * 2 + F.col("field"))
     table = sided_table(parallel(codes.select("code", "train")), "code", "train")
-    prints = checkpointed(fingerprints(parallel(codes.select("place", "train", "code")), table))
+    prints = checkpointed(identities(parallel(codes.select("place", "train", "code"))))
     owners = prints.select("sig", F.shiftright("place", 1).alias("entry_id"), "train").distinct()
-    # Each identity's least place, and then that row's keys and sketch: wide rows are joined by place, which never repeats.
-    places = checkpointed(prints.groupBy("sig").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_held"), F.min("place").alias("place")))
-    sets = prints.drop("train", "sig").join(places, "place")
-    # One row a key: the code's size, the run's rank and the sides in one number.
-    word = F.col("n").cast("bigint") * 2 ** (RANK_BITS + 2) + F.when(F.col("in_train"), 2).otherwise(0) + F.when(F.col("in_held"), 1).otherwise(0)
-    keys = sets.select("sig", word.alias("word"), F.explode("keys").alias("key"))
-    keys = keys.select("sig", (F.col("word") + F.col("key").bitwiseAND(2**RANK_BITS - 1) * 4).alias("word"), F.shiftright("key", RANK_BITS).alias("fp"))
-    # One shuffle by key serves both sides of the join.
-    keys = keys.repartition("fp")
-    size, left_of = F.shiftright("word", RANK_BITS + 2), F.shiftright("word", RANK_BITS + 2) - F.shiftright("word", 2).bitwiseAND(2**RANK_BITS - 1)
-    a = keys.where(F.col("word").bitwiseAND(2) > 0).select("fp", F.col("sig").alias("left"), size.alias("na"), left_of.alias("ra"))
-    b = keys.where(F.col("word").bitwiseAND(1) > 0).select("fp", F.col("sig").alias("right"), size.alias("nb"), left_of.alias("rb"))
+    places = checkpointed(prints.groupBy("sig").agg(F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_held"), F.min("place").alias("place"), F.first("n").alias("n"), *(F.first(w).alias(w) for w in _WORDS)))
+    a, b = (keys(parallel(codes.where(F.col("train") == side).select("code")), table, side, threshold, SPLIT).select("fp", F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("rest").alias(f"r{x}")) for side, x in ((True, "left"), (False, "right")))
     # The runs from the first common one on are all that a pair can share, and bound the sizes as well.
-    enough = F.least("ra", "rb") >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
-    found = a.join(b, "fp").where(enough & (F.col("left") != F.col("right"))).select("left", "right").distinct()
-    look = sets.select("sig", "n", F.struct(*_WORDS).alias("w"), "place")
+    enough = F.least("rleft", "rright") >= (F.col("nleft") + F.col("nright")) * (threshold / (1 + threshold)) - 1e-9
+    found = a.hint("merge").join(b, "fp").where(enough & (F.col("left") != F.col("right"))).select("left", "right").distinct()
+    look = places.select("sig", "n", F.struct(*_WORDS).alias("w"), "place")
     sieved = (
         found.join(look.select(F.col("sig").alias("left"), F.col("n").alias("ln"), F.col("w").alias("lw"), F.col("place").alias("lp")), "left")
         .join(look.select(F.col("sig").alias("right"), F.col("n").alias("rn"), F.col("w").alias("rw"), F.col("place").alias("rp")), "right")

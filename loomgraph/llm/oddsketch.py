@@ -27,16 +27,14 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..session import checkpointed, parallel
 from . import shingles
-from .frequency import SIDE_BITS, kept
+from .frequency import BITS, count_table, kept, most
 from .frequency import members as in_use
-from .frequency import repeated_table
 
 THRESHOLD = 0.6
-BANDS = 48
-BUCKET = 100
+#: More codes with one key are paired by groups, and a code with CROWD such keys is compared with their first.
+BUCKET = 1000
+CROWD = 12
 PARITY_BITS = 512
-#: The low bits of a key hold the run's rank in its code, capped.
-RANK_BITS = 16
 
 _WORDS = [f"o{i}" for i in range(PARITY_BITS // 64)]
 
@@ -49,22 +47,32 @@ def parity(samples: np.ndarray, bits: int = PARITY_BITS) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), axis=1).view(">i8").astype(np.int64)
 
 
-def prefix_keys(sets: np.ndarray, owner: np.ndarray, n: np.ndarray, counts: np.ndarray, repeated: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(key, owner) of the rarest (1 - threshold) n + 1 runs of each set but those of no other: the run's hash, in the low RANK_BITS its rank."""
-    bits = int(len(counts)).bit_length() - 1
-    count = np.minimum(counts[(sets >> np.uint64(64 - bits)).astype(np.int64)], 2**24 - 1).astype(np.uint64)
-    cell = (sets >> np.uint64(64 - SIDE_BITS)).astype(np.int64)
-    other = ((repeated[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(np.uint64)
-    ordered, owner = shingles.distinct((count << np.uint64(40)) | ((shingles.mix(sets) >> np.uint64(24)) & np.uint64(2**40 - 2)) | other, owner)
-    rank = np.arange(len(ordered)) - np.searchsorted(owner, owner)
+def _sets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(runs, owner, rows that have runs, number of runs, identity) of the codes of a batch."""
+    sets, owner = shingles.run_sets(part.column("code"))
+    present, owner = np.unique(owner, return_inverse=True)
+    n = np.bincount(owner, minlength=len(present))
+    sig = shingles.mix(np.add.reduceat(shingles.mix(sets), np.cumsum(n) - n) + n.astype(np.uint64)) if len(sets) else sets
+    return sets, owner, present, n, sig
+
+
+def _prefix(sets: np.ndarray, owner: np.ndarray, n: np.ndarray, grades: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, owner, rank) of the rarest (1 - threshold) n + 1 runs of each set but those of no other; a key's top byte is the run's graded count."""
+    cell = (sets >> np.uint64(64 - BITS)).astype(np.int64)
+    key, owner = shingles.distinct((grades[cell].astype(np.uint64) << np.uint64(56)) | (shingles.mix(sets) >> np.uint64(8)), owner)
+    rank = np.arange(len(key)) - np.searchsorted(owner, owner)
     prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    first = (rank < prefix[owner]) & ((ordered & np.uint64(1)) > 0)
-    low = np.uint64(2**RANK_BITS - 1)
-    return (shingles.mix(ordered[first]) & ~low) | np.minimum(rank[first].astype(np.uint64), low), owner[first]
+    first = (rank < prefix[owner]) & (key >= np.uint64(2 << 56))
+    return key[first], owner[first], rank[first]
+
+
+def _frequent(key: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether more than `bucket` codes may have a key."""
+    return most((key >> np.uint64(56)).astype(np.uint8)) > bucket
 
 
-def sketches(codes: DataFrame, table: Broadcast, threshold: float) -> DataFrame:
-    """Each code's set identity `sig`, number of runs `n`, keys and odd sketch; other columns than `code` are kept.
+def sketches(codes: DataFrame, table: Broadcast, threshold: float, bucket: int) -> DataFrame:
+    """Each code's set identity `sig`, number of runs `n`, number of keys that more than `bucket` codes may have, and odd sketch; other columns than `code` are kept.
 
     Codes of fewer than three tokens have no run, resemble nothing, and give no row.
     """
@@ -72,23 +80,44 @@ def sketches(codes: DataFrame, table: Broadcast, threshold: float) -> DataFrame:
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in codes.select(keep).schema)
 
     def run(batches):
-        counts, repeated = table.value
         for batch in batches:
             for part in shingles.pieces(batch, "code"):
-                sets, owner = shingles.run_sets(part.column("code"))
+                sets, owner, present, n, sig = _sets(part)
                 if not len(sets):
                     continue
-                present, owner = np.unique(owner, return_inverse=True)
-                size = len(present)
-                n = np.bincount(owner, minlength=size)
-                sig = shingles.mix(np.add.reduceat(shingles.mix(sets), np.cumsum(n) - n) + n.astype(np.uint64))
-                keys, of = prefix_keys(sets, owner, n, counts, repeated, threshold)
-                odd = shingles.parity_words(sets, owner, size, PARITY_BITS)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=size))]), pa.int32()), pa.array(keys.view(np.int64)))
+                key, of, _ = _prefix(sets, owner, n, table.value, threshold)
+                frequent = np.bincount(of[_frequent(key, bucket)], minlength=len(n))
+                odd = shingles.parity_words(sets, owner, len(n), PARITY_BITS)
                 rows = part.take(pa.array(present))
-                yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), lists, *(pa.array(odd[:, i]) for i in range(odd.shape[1]))], [*keep, "sig", "n", "keys", *_WORDS])
+                yield pa.RecordBatch.from_arrays([rows.column(c) for c in keep] + [pa.array(sig.view(np.int64)), pa.array(n, pa.int32()), pa.array(frequent, pa.int32()), *(pa.array(odd[:, i]) for i in range(odd.shape[1]))], [*keep, "sig", "n", "frequent", *_WORDS])
+
+    return codes.mapInArrow(run, f"{kept}, sig bigint, n int, frequent int, " + ", ".join(f"{w} bigint" for w in _WORDS))
+
+
+def keys(codes: DataFrame, table: Broadcast, threshold: float, bucket: int, frequent: bool) -> DataFrame:
+    """(key, sig, n, rest): the keys of every code that more than `bucket` codes may have, or those that fewer have; `rest` is the number of runs from the key on.
+
+    A set that occurs again in a task is not sent again.
+    """
+
+    def run(batches):
+        sent: set[int] = set()
+        for batch in batches:
+            for part in shingles.pieces(batch, "code"):
+                sets, owner, _, n, sig = _sets(part)
+                if not len(sets):
+                    continue
+                fresh = np.zeros(len(n), bool)
+                for i, s in enumerate(sig.tolist()):
+                    if s not in sent:
+                        sent.add(s)
+                        fresh[i] = True
+                key, owner, rank = _prefix(sets, owner, n, table.value, threshold)
+                wanted = (_frequent(key, bucket) == frequent) & fresh[owner]
+                key, owner, rank = key[wanted], owner[wanted], rank[wanted]
+                yield pa.RecordBatch.from_arrays([pa.array((shingles.mix(key) >> np.uint64(24)).view(np.int64)), pa.array(sig[owner].view(np.int64)), pa.array(n[owner], pa.int32()), pa.array(n[owner] - rank, pa.int32())], ["key", "sig", "n", "rest"])
 
-    return codes.mapInArrow(run, f"{kept}, sig bigint, n int, keys array<bigint>, " + ", ".join(f"{w} bigint" for w in _WORDS))
+    return codes.mapInArrow(run, "key bigint, sig bigint, n int, rest int")
 
 
 def may_reach(left: str, right: str, sizes: Column, threshold: float) -> Column:
@@ -124,42 +153,45 @@ def _compared(pairs: DataFrame, sets: DataFrame, codes: DataFrame, threshold: fl
     return both.mapInArrow(run, "left bigint, right bigint, similarity double")
 
 
-def links(codes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, crowd: int = BANDS // 4) -> tuple[DataFrame, DataFrame]:
+def links(codes: DataFrame, threshold: float = THRESHOLD, bucket: int = BUCKET, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(links between identities that hold the groups together, members (code_id, sig)).
 
     `codes` has code_id and code.  Codes with equal sets of runs are one identity.
     Rows without an id or a code take no part.
     """
     codes = codes.select("code_id", "code").where("code_id is not null and code is not null and code != ''")
-    table = repeated_table(parallel(codes), "code")
-    marked = checkpointed(sketches(parallel(codes), table, threshold))
+    table = count_table(parallel(codes), "code")
+    marked = checkpointed(sketches(parallel(codes), table, threshold, bucket))
     members = marked.select("code_id", "sig")
-    sets = checkpointed(marked.groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), *(F.first(w).alias(w) for w in _WORDS), F.min("code_id").alias("place")))
-    # One row a key: the code's size and the run's rank in one number.
-    keys = sets.select("sig", "n", F.explode("keys").alias("key"))
-    keys = keys.select("sig", (F.col("n").cast("bigint") * 2**RANK_BITS + F.col("key").bitwiseAND(2**RANK_BITS - 1)).alias("word"), F.shiftright("key", RANK_BITS).alias("key"))
-    # One shuffle by key serves both the bucket sizes and the join with them.
-    keys = keys.repartition("key")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("first")).where("size > 1")
-    live = checkpointed(keys.join(sizes, "key"))
+    sets = checkpointed(marked.groupBy("sig").agg(F.first("n").alias("n"), *(F.first(w).alias(w) for w in _WORDS), F.min("code_id").alias("place")))
 
     def side(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-        n = F.shiftright("word", RANK_BITS)
-        return rows.select("key", *columns, F.col("sig").alias(name), n.alias(f"{name}_n"), (n - F.col("word").bitwiseAND(2**RANK_BITS - 1)).alias(f"{name}_rest"))
+        return rows.select("key", *columns, F.col("sig").alias(name), F.col("n").alias(f"{name}_n"), F.col("rest").alias(f"{name}_rest"))
 
     # The runs from the first common one on are all that a pair can share.
     enough = F.least("x_rest", "y_rest") >= (F.col("x_n") + F.col("y_n")) * (threshold / (1 + threshold)) - 1e-9
     pair = (F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right"))
-    small = live.where(F.col("size") <= bucket)
-    pairs = side(small, "x").join(side(small, "y"), "key").where((F.col("x") < F.col("y")) & enough).select(*pair)
-    large = live.where(F.col("size") > bucket)
-    crowded = large.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= crowd).select("sig")
-    stars = large.where("sig != first").join(crowded, "sig", "left_semi").select(F.col("first").alias("left"), F.col("sig").alias("right"))
+
+    def paired(rows: DataFrame) -> DataFrame:
+        return side(rows, "x").hint("merge").join(side(rows, "y"), "key").where((F.col("x") < F.col("y")) & enough).select(*pair)
+
+    # Both sides of the join are one shuffle.
+    pairs = paired(keys(parallel(codes), table, threshold, bucket, False))
+    crowds = marked.where("frequent > 0").select("code_id")
+    if crowds.isEmpty():
+        return checkpointed(_compared(pairs.distinct(), sets, codes, threshold)), members
+    some = kept(codes, "code_id", in_use(crowds, "code_id"))
+    live = checkpointed(keys(parallel(some), table, threshold, bucket, True).distinct())
+    sizes = checkpointed(live.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("sig").alias("first")).where("size > 1"))
+    pairs = pairs.union(paired(live.join(sizes.where(F.col("size") <= bucket).select("key"), "key")))
+    large = live.join(sizes.where(F.col("size") > bucket).select("key", "first"), "key")
+    crowded = large.groupBy("sig").agg(F.count(F.lit(1)).alias("keys")).where(F.col("keys") >= crowd).select("sig")
+    stars = large.where("sig != first").join(crowded, "sig", "left_semi").select(F.least("first", "sig").alias("left"), F.greatest("first", "sig").alias("right"))
     near = checkpointed(_compared(pairs.union(stars).distinct(), sets, codes, threshold))
     if not large.isEmpty():
         # All pairs of a large bucket whose codes aren't connected so far, group by group.
         parts = connected_components(near, "left", "right").select(F.col("node").alias("sig"), "component")
-        placed = checkpointed(large.select("key", "sig", "word").join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
+        placed = checkpointed(large.drop("first").join(parts, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
         kinds = placed.select("key", "component").distinct()
         across = kinds.withColumnRenamed("component", "xc").join(kinds.withColumnRenamed("component", "yc"), "key").where("xc < yc")
         x, y = (side(placed.withColumnRenamed("component", f"{v}c"), v, f"{v}c") for v in "xy")

@@ -52,11 +52,10 @@ def expected(rows):
     return pairs
 
 
-@pytest.mark.parametrize("hot", [crosssplit.HOT, 2])
-def test_found_agrees_with_all_pairs(spark, rows, hot, monkeypatch):
-    # With a low limit every shared fingerprint is hot and the keys of prefix filtering carry the result.
-    monkeypatch.setattr(crosssplit, "HOT", hot)
-    monkeypatch.setattr(crosssplit, "HOT_SHARE", crosssplit.HOT_SHARE if hot > 2 else 0.0)
+@pytest.mark.parametrize("split", [crosssplit.SPLIT, 1])
+def test_found_agrees_with_all_pairs(spark, rows, split, monkeypatch):
+    # With a low limit every shared key is split among tasks.
+    monkeypatch.setattr(crosssplit, "SPLIT", split)
     half = len(rows) // 2
     one, two = spark.createDataFrame(rows[:half], SCHEMA), spark.createDataFrame(rows[half:], SCHEMA)
     got = crosssplit.found(one, two).collect()
@@ -77,7 +76,7 @@ def substituted(base, places, name):
 
 
 def test_a_family_of_different_near_copies_is_found_whole(spark):
-    # Every run the copies have in common is shared by far more than HOT pairs; the rarest of most windows are each copy's own.
+    # Every run the copies have in common is shared by hundreds of pairs; the rarest of most windows are each copy's own.
     rng = random.Random(3)
     base = [f"b{i}" for i in range(320)]
     trains, helds = ([substituted(base, set(rng.sample(range(320), k)), f"{side}{i}x") for i in range(count)] for side, count, k in (("t", 30, 22), ("h", 30, 6)))
@@ -119,7 +118,7 @@ def test_chain_and_stretches():
 
 @pytest.mark.parametrize("bucket", [oddsketch.BUCKET, 1])
 def test_groups_agree_with_all_pairs(spark, bucket, monkeypatch):
-    monkeypatch.setattr(oddsketch.links, "__defaults__", (oddsketch.THRESHOLD, bucket, oddsketch.BANDS // 4))
+    monkeypatch.setattr(oddsketch.links, "__defaults__", (oddsketch.THRESHOLD, bucket, oddsketch.CROWD))
     texts = corpus(seed=6, families=8, each=7) + ["a b", "a b", "", None]
     texts += [texts[0], texts[0]]
     rows = [(i, t, "z") for i, t in enumerate(texts)]
@@ -153,7 +152,7 @@ def linked(texts):
 
 def test_a_crowd_without_a_common_centre_is_grouped_whole(spark, monkeypatch):
     # Many variants of a base that isn't there, each like some others only; every shared bucket is large.
-    monkeypatch.setattr(oddsketch.links, "__defaults__", (oddsketch.THRESHOLD, 1, oddsketch.BANDS // 4))
+    monkeypatch.setattr(oddsketch.links, "__defaults__", (oddsketch.THRESHOLD, 1, oddsketch.CROWD))
     rng = random.Random(4)
     texts = []
     for family in range(6):
