@@ -131,11 +131,15 @@ _TOKEN = re.compile(
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_LINE = re.compile(r"(?<!\\)[A-Za-z0-9+/=]{8,}")
+#: A key's short last line, ahead of its END mark.
+_KEY_TAIL = re.compile(r"(?<![\\A-Za-z0-9+/=])[A-Za-z0-9/][A-Za-z0-9+/=]{0,6}(?=(?:\\[nr]|[\s\"',;+])*\Z)")
 _BODY = re.compile(r"[\s\"'+#*/;,]*(?:\\[nr][\s\"'+#*/;,]*)*[A-Za-z0-9+/=]{12}")
 _USERINFO = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.-]*://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
 _QUERY = re.compile(r"[?&;]([\w.\-]+)=([^&\s\"'<>;]+)")
 _FALLBACK = re.compile(r"\$\{([\w.\-]+):-?([^${}]+)\}")
 _SCHEME = re.compile(r"(?:Bearer|Basic|Token|token|bearer|basic|ApiKey|Digest|SharedKey)\s+")
+#: A header as a text of its own: its name, and a scheme or none before the value.
+_HEADER = re.compile(r"\s*([A-Za-z][\w\-]*)\s*:\s*((?:Bearer|Basic|Token|ApiKey|Digest|SharedKey)\s+)?([^\s\"']+)\s*\Z", re.IGNORECASE)
 _LINE_PAIR = re.compile(r"(?<![\w.$-])([A-Za-z_][\w.\-]*)[\"']?[ \t]*(=|:|->|=>|\bwas\b|\bis\b)[ \t]*([\"']?)([^\s\"',;]+)\3", re.IGNORECASE)
 _HEADERS = ("authorization", "proxyauthorization")
 
@@ -214,6 +218,8 @@ def _text_findings(code: str, start: int, end: int, comment: bool, found: list[F
         stop_at = stop.start() if stop else end
         # The key's lines, between which quotes and joins stay.
         parts = [k.span() for k in _KEY_LINE.finditer(code, start + m.end(), stop_at)]
+        if stop and (tail := _KEY_TAIL.search(code, max(start + m.end(), stop_at - 64), stop_at)) and not any(a <= tail.start() < b for a, b in parts):
+            parts.append(tail.span())
         found.append(Finding(start + m.start(), parts, "private key"))
     if "://" in text:
         for m in _USERINFO.finditer(text):
@@ -271,6 +277,10 @@ def credentials(code: str, java: bool) -> list[Finding]:
             continue
         if any(f.kind != "token" for f in found[before:]):
             continue
+        if (m := _HEADER.match(value)) and names_credential(m[1]) and not placeholder(m[3]) and not _TEMPLATE.search(m[3]) and (m[2] or strong(m[3])):
+            del found[before:]
+            found.append(Finding(low + m.start(3), [(low + m.start(3), low + m.end(3))], "header"))
+            continue
         scheme = _SCHEME.match(value)
         bare = value[scheme.end() :] if scheme else value
         if len(found) > before and (" " in bare or bare.startswith("data:")):
