@@ -11,6 +11,8 @@ reader sees as different stays different.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,25 +23,52 @@ from ..session import checkpointed, parallel
 LOOKALIKES = {
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ν": "v", "ο": "o", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "α": "a", "ι": "i", "\u1fbe": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
     # Cyrillic
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ԛ": "Q", "Ԝ": "W",
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "Ӏ": "I", "ѵ": "v",
     # Armenian and phonetic letters
     "օ": "o", "ս": "u", "ɡ": "g", "ɑ": "a",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     # Signs that are letters by another code
     "K": "K", "Å": "Å",
 }
 #: The same with an accent, after composition.
 COMPOSED = {"Ѐ": "È", "Ё": "Ë", "Ї": "Ï", "ѐ": "è", "ё": "ë", "ї": "ï", "ӑ": "ă", "Ӑ": "Ă", "ӓ": "ä", "Ӓ": "Ä", "ӗ": "ĕ", "Ӗ": "Ĕ", "ӧ": "ö", "Ӧ": "Ö", "ӱ": "ÿ", "ό": "ó", "Ά": "Á", "Έ": "É", "Ή": "H́", "Ί": "Í", "Ό": "Ó", "Ύ": "Ý", "Ϊ": "Ï", "Ϋ": "Ÿ"}
-#: Joined forms and what they are made of.
-JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǅ": "Dž", "Ǆ": "DŽ", "ǉ": "lj", "ǈ": "Lj", "Ǉ": "LJ", "ǌ": "nj", "ǋ": "Nj", "Ǌ": "NJ"}
-SPACES = "               　"
-HYPHENS = "‐‑﹣－"
+_BMP_AND_STYLES = (*range(0x00A0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F250))
+
+
+def _compatible() -> dict[str, str]:
+    """Compatibility forms that look like what they decompose to, by the Unicode data of the interpreter.
+
+    Full-width and half-width forms, letters in another style, joined letters and
+    Roman numerals, and dots of leaders.  Forms that a reader tells apart, such as
+    superscripts, fractions and characters in circles, aren't among them.
+    """
+    out = {}
+    for c in map(chr, _BMP_AND_STYLES):
+        kind, _, rest = unicodedata.decomposition(c).partition(" ")
+        name = unicodedata.name(c, "")
+        alike = kind in ("<wide>", "<narrow>", "<font>") or (kind == "<compat>" and (any(x in name for x in ("LIGATURE", "DIGRAPH", "ROMAN NUMERAL", " DOT LEADER", "HORIZONTAL ELLIPSIS")) or name.startswith("LATIN") and len(rest.split(" ")) > 1))
+        if alike and "ARABIC" not in name and "HEBREW" not in name:
+            out[c] = unicodedata.normalize("NFKC", c)
+    return out
+
+
+#: Kinds of spaces and of hyphens; dashes of another length are none.
+SPACES = "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs" and c != "\u1680")
+HYPHENS = "‐‑‒⁃−﹣－"
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩⁪⁫⁬⁭⁮⁯﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
-FULL_WIDTH = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c) not in HYPHENS}
 
-FIRST = FULL_WIDTH | {c: " " for c in SPACES} | {c: "-" for c in HYPHENS} | LOOKALIKES
+_FORMS = _compatible()
+#: Letters in another style or width may look like letters of the Latin alphabet in turn.
+_SINGLE = {c: LOOKALIKES.get(x, x) for c, x in _FORMS.items() if len(x) == 1 and c not in HYPHENS}
+JOINED = {c: x for c, x in _FORMS.items() if len(x) > 1}
+FIRST = _SINGLE | {c: " " for c in SPACES} | {c: "-" for c in HYPHENS} | LOOKALIKES
+
+#: Letters that a Cyrillic word shares with Latin ones by look, for words that have a letter no Latin word has.
+CYRILLIC = {x: c for c, x in LOOKALIKES.items() if c in "АВЕКМНОРСТХУаеорсухіјѕІЈЅ"} | {"Ë": "Ё", "ë": "ё", "Ï": "Ї", "ï": "ї", "ă": "ӑ", "ä": "ӓ", "ö": "ӧ", "ÿ": "ӱ"}
 
 
 def _quoted(text: str) -> str:
@@ -61,6 +90,25 @@ def expression(column: str) -> str:
     return rf"CASE WHEN regexp_matches({column}, '[^\x00-\x7F]') THEN {inner} ELSE {column} END"
 
 
+#: Latin letters that no Cyrillic letter looks like.
+_LATIN_ONLY = "".join(c for c in map(chr, range(0x41, 0x7B)) if c.isalpha() and c not in CYRILLIC)
+
+
+def _text_of(table: str) -> str:
+    """DuckDB SQL for the rest of a SELECT of `text` in the consistent form from a table with doc_id and text.
+
+    It is that of `expression`, but Cyrillic words keep their alphabet: words with a letter that
+    only Cyrillic has are written in Cyrillic throughout, and in texts with more such letters than
+    Latin ones that Cyrillic lacks, so are words without either.  As texts that look the same have
+    the same such letters, they still have one form.
+    """
+    word = f"CASE WHEN regexp_matches(w, '[Ѐ-ӿ]') OR (cyrillic > latin AND NOT regexp_matches(w, '[{_LATIN_ONLY}]')) THEN translate(w, {_quoted(''.join(CYRILLIC))}, {_quoted(''.join(CYRILLIC.values()))}) ELSE w END"
+    # Words and what stands between them by turns.
+    parts = r"regexp_extract_all(form, '[\p{L}\p{M}]+|[^\p{L}\p{M}]+')"
+    counted = f"SELECT *, length(regexp_replace(form, '[^Ѐ-ӿ]', '', 'g')) AS cyrillic, length(regexp_replace(form, '[^{_LATIN_ONLY}]', '', 'g')) AS latin FROM (SELECT doc_id, {expression('text')} AS form FROM {table})"
+    return f"CASE WHEN cyrillic > 0 THEN array_to_string(list_transform({parts}, lambda w: {word}), '') ELSE form END AS text FROM ({counted})"
+
+
 def _in_duckdb(df: DataFrame, sql: str, schema: str) -> DataFrame:
     """`sql` over the table `batch`, run on every Arrow batch of `df`."""
 
@@ -82,7 +130,7 @@ def _in_duckdb(df: DataFrame, sql: str, schema: str) -> DataFrame:
 
 def consistent(documents: DataFrame) -> DataFrame:
     """(doc_id, text): every document's text in the consistent form."""
-    return _in_duckdb(parallel(documents.select("doc_id", "text")), f"SELECT doc_id, {expression('text')} AS text FROM batch", "doc_id bigint, text string")
+    return _in_duckdb(parallel(documents.select("doc_id", "text")), f"SELECT doc_id, {_text_of('batch')}", "doc_id bigint, text string")
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -108,4 +156,4 @@ WITH forms AS (SELECT doc_id, text, {expression('text')} AS form FROM documents
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b
 FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
 """
-CONSISTENT_SQL = f"SELECT doc_id, {expression('text')} AS text FROM documents"
+CONSISTENT_SQL = f"SELECT doc_id, {_text_of('documents')}"
