@@ -2,8 +2,9 @@
 
 Rows that name one repository or one commit are tied; components of ties are
 groups.  Each group has a label vector (its rows by language and weakness).
-Labels are taken from the rarest to the most common; the groups in which a label
-is the rarest go to the splits that still need most of it.
+The label with the fewest outstanding rows is taken first, again and again as
+placing groups changes what is outstanding; its groups go to the splits that
+still need most of it.
 
 Groups of at least 1 / HEAVY of all rows, of which there are at most HEAVY, are
 placed one by one.  The others are placed a label at a time: the need of each
@@ -21,9 +22,11 @@ from ..operators.graph import connected_components
 from ..session import checkpointed
 
 HEAVY = 500
-#: Labels beyond the most frequent ones count as one label, so that the driver's tables are bounded.
-LABELS = 200
+#: Rows of small groups to a cell of the running sums, and the fewest cells.
+_CELL_ROWS = 50_000
 _CELLS = 64
+#: No commit is longer (SHA-256).
+_COMMIT = 64
 
 
 _BLANKS = r"[\s\p{Z}​﻿]+"
@@ -47,7 +50,8 @@ def commit_key(value: Column) -> Column:
 
 
 def _rows(holdout: DataFrame, raw: DataFrame) -> DataFrame:
-    label = F.concat_ws("|", F.lower(F.trim(F.col("language"))), F.regexp_replace(F.upper(F.col("cwe")), "[^0-9]", ""))
+    # Labels are few: a language's first two letters, which its spellings share, and the number of a weakness.
+    label = F.concat_ws("|", F.substring(F.lower(F.trim(F.col("language"))), 1, 2), F.regexp_extract(F.upper(F.col("cwe")), "0*([0-9]{1,4})(?![0-9])", 1))
     commit = F.col("commit") if "commit" in raw.columns else F.lit(None).cast("string")
     one = holdout.select("entry_id", repository(F.col("repo")).alias("repo"), commit_key(F.col("commit")).alias("commit"), label.alias("label"))
     two = raw.select("entry_id", repository(F.col("repo")).alias("repo"), commit_key(commit).alias("commit"), label.alias("label"))
@@ -59,8 +63,8 @@ def _groups(rows: DataFrame) -> DataFrame:
     ties = checkpointed(rows.select(F.concat(F.lit("a:"), "repo").alias("repo"), F.concat(F.lit("c:"), "commit").alias("commit")).where("repo is not null or commit is not null").distinct())
     commits = ties.select("commit").where("commit is not null").distinct()
     full = commits.withColumn("size", F.length("commit"))
-    # A short form means the full commit it begins: equi-joins on prefixes of the lengths that occur, of which there are at most forty.
-    lengths = sorted(r["size"] for r in full.where("size < 42").groupBy("size").count().collect())
+    # A short form means the full commit it begins: equi-joins on prefixes of the lengths that occur, of which there are at most sixty-three.
+    lengths = sorted(r["size"] for r in full.where(F.col("size") < _COMMIT).groupBy("size").count().collect())
     edges = ties.select(F.coalesce("repo", "commit").alias("src"), F.coalesce("commit", "repo").alias("dst"))
     if lengths:
         prefixes = full.select("commit", "size", F.explode(F.array(*(F.lit(x) for x in lengths))).alias("cut")).where("cut < size").select("commit", F.substring("commit", F.lit(1), F.col("cut")).alias("short"))
@@ -91,25 +95,33 @@ def _place(weights: dict[str, float], shares: dict[str, float], classes: list[tu
 
     placed: dict[str, str] = {}
     cut: dict[str, dict[str, float]] = {}
-    order = sorted(weights, key=lambda label: (weights[label], label))
-    waiting = sorted(heavy, key=lambda g: (-sum(g[1].values()), g[0]))
-    for group, vector in waiting:
-        rarest = min(vector, key=lambda label: (weights[label], label))
-        best = max(shares, key=lambda s: (need[s][None] >= sum(vector.values()), need[s][rarest], need[s][None], s))
-        placed[group] = best
-        take(best, vector)
     totals = dict(classes)
-    for label in order:
-        if label not in totals:
-            continue
-        left = {s: max(need[s][label], 0.0) + 1e-9 * shares[s] for s in shares}
-        room = {s: max(need[s][None], 0.0) + 1e-9 * shares[s] for s in shares}
-        # What a split needs of the label, within what it needs at all.
-        wish = {s: min(left[s], room[s]) for s in shares}
-        whole = sum(wish.values())
-        cut[label] = {s: wish[s] / whole for s in shares}
-        for s in shares:
-            take(s, totals[label], cut[label][s])
+    waiting = dict(heavy)
+    outstanding = dict(weights)
+    while outstanding:
+        label = min(outstanding, key=lambda x: (outstanding[x], x))
+        # Single groups, those with most of the label first.
+        for group in sorted((g for g, v in waiting.items() if label in v), key=lambda g: (-waiting[g][label], g)):
+            vector = waiting.pop(group)
+            size = sum(vector.values())
+            placed[group] = max(shares, key=lambda s: (need[s][None] >= size, need[s][label], need[s][None], s))
+            take(placed[group], vector)
+            for x, n in vector.items():
+                if x in outstanding:
+                    outstanding[x] -= n
+        if label in totals:
+            left = {s: max(need[s][label], 0.0) + 1e-9 * shares[s] for s in shares}
+            room = {s: max(need[s][None], 0.0) + 1e-9 * shares[s] for s in shares}
+            # What a split needs of the label, within what it needs at all.
+            wish = {s: min(left[s], room[s]) for s in shares}
+            whole = sum(wish.values())
+            cut[label] = {s: wish[s] / whole for s in shares}
+            for s in shares:
+                take(s, totals[label], cut[label][s])
+            for x, n in totals[label].items():
+                if x in outstanding:
+                    outstanding[x] -= n
+        del outstanding[label]
     return placed, cut
 
 
@@ -118,15 +130,12 @@ def assign(holdout: DataFrame, raw: DataFrame, targets: DataFrame) -> DataFrame:
 
     `targets` has split_name and target_share; shares are scaled to a sum of one.
     """
-    shares = {r["split_name"]: float(r["target_share"]) for r in targets.where("split_name is not null and target_share > 0").limit(1000).collect()}
+    shares = {r["split_name"]: float(r["target_share"]) for r in targets.where("split_name is not null and target_share > 0").collect()}
     if not shares:
         raise ValueError("no split with a positive share")
     whole = sum(shares.values())
     shares = {s: x / whole for s, x in sorted(shares.items())}
     rows = checkpointed(_groups(_rows(holdout, raw)).select("entry_id", "component", "label"))
-    by_label = rows.groupBy("label").count()
-    top = by_label.orderBy(F.desc("count"), "label").limit(LABELS).withColumn("common", F.lit(True)).select("label", "common")
-    rows = rows.join(F.broadcast(top), "label", "left").withColumn("label", F.when(F.col("common"), F.col("label")).otherwise("other")).drop("common")
     vectors = checkpointed(rows.groupBy("component", "label").count())
     weights = {r["label"]: float(r["count"]) for r in vectors.groupBy("label").agg(F.sum("count").alias("count")).collect()}
     ranks = sorted(weights, key=lambda label: (weights[label], label))
@@ -155,7 +164,7 @@ def assign(holdout: DataFrame, raw: DataFrame, targets: DataFrame) -> DataFrame:
             at += share
     bounds = spark.createDataFrame(bounds, "rank int, split string, low double, high double")
     # Running sums in two steps: over cells of a hash, then inside a cell; no class is sorted in one task.
-    cell = (F.pmod(F.xxhash64("component"), F.lit(_CELLS))).alias("cell")
+    cell = (F.pmod(F.xxhash64("component"), F.lit(max(_CELLS, int(sum(weights.values()) / _CELL_ROWS))))).alias("cell")
     light = light.select("component", "size", "rank", cell)
     cells = light.groupBy("rank", "cell").agg(F.sum("size").alias("in_cell"))
     before = cells.select("rank", "cell", (F.sum("in_cell").over(Window.partitionBy("rank").orderBy("cell")) - F.col("in_cell")).alias("before"), F.sum("in_cell").over(Window.partitionBy("rank")).alias("of"))
