@@ -34,10 +34,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written to the cluster's shared checkpoint folder and read back, its lineage cut.
 
     The folder is the session's spark.checkpoint.dir; one of this machine is set
-    only where that is unset, as in tests.
+    only where that is unset and the session has no other machines.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
     return df.checkpoint(eager=True)
 
