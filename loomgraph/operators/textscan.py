@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import any_of, entropy
+from ..sources.code import assigned_name, assigned_value
 
 # Fixed values.
 CREDENTIAL_NAMES = ("password", "secret", "api_key", "token", "private_key", "auth_key")
@@ -34,7 +35,12 @@ SUPPRESSION = "nosec"
 UNSUPPORTED = ("async ", "await ", "yield ", "lambda", "synchronized", "instanceof", "switch (", "record ", "sealed ", "goto", "exec ")
 RETURN_CONTEXTS = (("CWE-79", "<[a-z]+>"), ("CWE-89", "(?:select|update|delete|insert) "), ("CWE-22", r"(?:new file\(|os\.path\.join\(|\.\./)"))
 
-FINDING = ["file_id", "line_no", "cwe", "rule", "severity"]
+_IN_CALL = r"(?:getinstance|new|hashlib\.[a-z0-9]+|cipher[a-z0-9.]*) *\("
+_HEADER_SET = r"resp[a-z_]*\.headers\[[^\]]*\] *= *[^\"' ]"
+
+
+def _whole_word(low: Column, words: tuple[str, ...]) -> Column:
+    return low.rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(words) + r")(?:[^a-z0-9]|$)")
 
 
 def literal_credentials(assigned: DataFrame) -> DataFrame:
@@ -47,18 +53,15 @@ def literal_credentials(assigned: DataFrame) -> DataFrame:
 def weak_cryptography(source_lines: DataFrame) -> DataFrame:
     """Weak hashes (two weaknesses each) and ciphers named as whole words in a call on a line."""
     low = F.lower("line")
-    in_call = low.rlike(r"(?:getinstance|new|hashlib\.[a-z0-9]+|cipher[a-z0-9.]*) *\(")
-    hashes = low.rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(WEAK_HASHES) + r")(?:[^a-z0-9]|$)")
-    ciphers = low.rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(WEAK_CIPHERS) + r")(?:[^a-z0-9]|$)")
+    in_call = low.rlike(_IN_CALL)
+    hashes, ciphers = (_whole_word(low, words) for words in (WEAK_HASHES, WEAK_CIPHERS))
     cwes = F.when(hashes, F.array(F.lit("CWE-327"), F.lit("CWE-328"))).when(ciphers, F.array(F.lit("CWE-327"))).otherwise(F.array().cast("array<string>"))
     return source_lines.where(in_call & (hashes | ciphers)).select("file_id", "line_no", F.explode(cwes).alias("cwe"), F.lit("weak-cryptography").alias("rule"), F.lit("MEDIUM").alias("severity"))
 
 
-def response_headers(assigned: DataFrame, source_lines: DataFrame) -> DataFrame:
+def response_headers(source_lines: DataFrame) -> DataFrame:
     """Lines that set a header of a response to something other than a literal."""
-    del assigned
-    low = F.lower("line")
-    return source_lines.where(low.rlike(r"resp[a-z_]*\.headers\[[^\]]*\] *= *[^\"' ]")).select("file_id", "line_no", F.lit("CWE-113").alias("cwe"), F.lit("response-header").alias("rule"), F.lit("MEDIUM").alias("severity"))
+    return source_lines.where(F.lower("line").rlike(_HEADER_SET)).select("file_id", "line_no", F.lit("CWE-113").alias("cwe"), F.lit("response-header").alias("rule"), F.lit("MEDIUM").alias("severity"))
 
 
 def sink_weakness(line: Column) -> Column:
@@ -89,10 +92,13 @@ def sources(source_lines: DataFrame) -> DataFrame:
 
 def suppressed(source_lines: DataFrame, marker: str = SUPPRESSION) -> DataFrame:
     """(file_id, line_no) of lines that, or whose line before, bear a comment with the marker; the second part of a comment on either line."""
-    comment = F.coalesce(F.regexp_extract("line", r"(?s)(?://|#)(.*)\z", 1), F.lit(""))
-    marked = source_lines.withColumn("marked", comment.contains(marker))
-    before = F.lag("marked", 1, False).over(Window.partitionBy("file_id").orderBy("line_no"))
-    return marked.withColumn("hidden", F.col("marked") | before).where("hidden").select("file_id", "line_no")
+    hidden = source_lines.where(_marked(marker)).select("file_id", "n_lines", F.explode(F.array(F.col("line_no"), F.col("line_no") + 1)).alias("line_no"))
+    return hidden.where("line_no <= n_lines").select("file_id", "line_no").distinct()
+
+
+def _marked(marker: str) -> Column:
+    """Whether a line's comment has a marker."""
+    return F.coalesce(F.regexp_extract("line", r"(?s)(?://|#)(.*)\z", 1).contains(marker), F.lit(False))
 
 
 def guarded_sinks(source_lines: DataFrame, window: int = 50) -> DataFrame:
@@ -163,8 +169,27 @@ def mentions(functions: DataFrame) -> DataFrame:
     return called.join(functions.select("file_id", F.col("name").alias("callee")).distinct(), ["file_id", "callee"]).where("caller != callee").select("file_id", "caller", "callee")
 
 
-def findings(source_lines: DataFrame, assigned: DataFrame, reach: int = 20) -> DataFrame:
-    """All line findings: the text rules, and sinks with a source at most `reach` lines above; suppressed lines are left out."""
-    flows = nearest_source(source_lines).where(f"distance between 0 and {reach}").select("file_id", "line_no", "cwe", F.lit("near-source").alias("rule"), F.lit("HIGH").alias("severity"))
-    found = literal_credentials(assigned).select(*FINDING).unionByName(weak_cryptography(source_lines)).unionByName(response_headers(assigned, source_lines)).unionByName(flows)
-    return found.join(suppressed(source_lines), ["file_id", "line_no"], "left_anti")
+def findings(source_lines: DataFrame, reach: int = 20) -> DataFrame:
+    """All line findings: the text rules, and sinks with a source at most `reach` lines above; suppressed lines are left out.
+
+    One projection marks all rules; only marked lines are brought together by file.
+    """
+    low = F.lower("line")
+    name, value = assigned_name(F.col("line")), assigned_value(F.col("line"))
+    literal = F.regexp_extract(value, r"(?s)^[\"'](.*)[\"'];?\z", 1)
+    one = lambda cwe, rule, severity: F.struct(cwe.alias("cwe"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
+    credential = F.when(any_of(F.lower(name), CREDENTIAL_NAMES) & (F.octet_length(literal) >= 8), F.round(entropy(literal), 6) > 3.0).otherwise(False)
+    hashes, ciphers = (_whole_word(low, words) for words in (WEAK_HASHES, WEAK_CIPHERS))
+    weak = low.rlike(_IN_CALL) & (hashes | ciphers)
+    rules = F.array(
+        F.when(credential, one(F.lit("CWE-798"), "literal-credential", "CRITICAL")), F.when(weak, one(F.lit("CWE-327"), "weak-cryptography", "MEDIUM")), F.when(weak & hashes, one(F.lit("CWE-328"), "weak-cryptography", "MEDIUM")), F.when(low.rlike(_HEADER_SET), one(F.lit("CWE-113"), "response-header", "MEDIUM"))
+    )
+    marked = source_lines.select(
+        "file_id", "line_no", F.filter(rules, lambda r: r.isNotNull()).alias("rules"), sink_weakness(F.col("line")).alias("sink"), F.when(source_domain(F.col("line")).isNotNull(), F.col("line_no")).alias("read_at"), F.when(_marked(SUPPRESSION), F.col("line_no")).alias("marked_at")
+    ).where("size(rules) > 0 or sink is not null or read_at is not null or marked_at is not null")
+    by = Window.partitionBy("file_id").orderBy("line_no")
+    last = F.max("read_at").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    seen = marked.withColumn("last", last).withColumn("hidden", F.max("marked_at").over(by.rangeBetween(-1, 0))).where("hidden is null")
+    flow = F.when(F.col("sink").isNotNull() & (F.col("line_no") - F.col("last")).between(0, reach), one(F.col("sink"), "near-source", "HIGH"))
+    every = seen.select("file_id", "line_no", F.explode(F.filter(F.concat("rules", F.array(flow)), lambda r: r.isNotNull())).alias("r"))
+    return every.select("file_id", "line_no", "r.cwe", "r.rule", "r.severity")

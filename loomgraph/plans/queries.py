@@ -72,8 +72,7 @@ def _rule_values() -> str:
 
 
 def _found(spark: SparkSession, folder: str) -> DataFrame:
-    source_lines = _lines(spark, folder)
-    return textscan.findings(source_lines, code.assignments(source_lines))
+    return textscan.findings(_lines(spark, folder))
 
 
 def text_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,8 +96,7 @@ def weak_cryptography(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def response_headers(spark: SparkSession, folder: str) -> DataFrame:
-    source_lines = _lines(spark, folder)
-    return textscan.response_headers(source_lines, source_lines).groupBy("cwe").agg(F.count(F.lit(1)).alias("lines"))
+    return textscan.response_headers(_lines(spark, folder)).groupBy("cwe").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def sink_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -343,10 +341,10 @@ def place_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     return program.ancestors(nation.unionByName(customer)).groupBy("ancestor", "depth").agg(F.count(F.lit(1)).alias("below"))
 
 
-def supplier_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Connected components of suppliers and parts that share an order line of 50 pieces."""
-    rows = table(spark, folder, "lineitem").where("l_quantity = 50")
-    edges = rows.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+def commit_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Connected components of repositories and commits as the files' rows spell them, by size."""
+    rows = table(spark, folder, "samples").where("repo != '' and commit != ''")
+    edges = rows.select(F.concat(F.lit("r"), "repo").alias("src"), F.concat(F.lit("c"), "commit").alias("dst")).distinct()
     return program.connected_components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).groupBy("nodes").agg(F.count(F.lit(1)).alias("components"))
 
 
@@ -419,9 +417,9 @@ def stale_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dependents(spark: SparkSession, folder: str) -> DataFrame:
-    """Modules imported together with `json`: files to be done again where files that import it change, one hop on."""
+    """Files to be done again, by module, where the modules that benchmark files import change, one hop on."""
     imports = code.imports(_lines(spark, folder)).select("file_id", "module").distinct()
-    changed = imports.where("module in ('json', 'java.util.Map')").select("module").distinct()
+    changed = imports.join(table(spark, folder, "owasp_entries").select(F.col("code_id").alias("file_id")), "file_id", "left_semi").select("module").distinct()
     return incremental.dependents(imports, changed).groupBy("module").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -431,7 +429,7 @@ def queries() -> dict[str, Query]:
         suppressed_lines, guarded_sinks, nearest_source, last_assignment, return_contexts, unsupported_constructs, baseline_status, fingerprints, finding_ids, confusion, matthews, matched_truth, cohorts,
         sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, decided_branches, symbol_kinds, function_mentions, property_algorithms,
         type_pairs, route_handlers, reaching_definitions, finding_traces, flow_allowance, event_blocks, event_flows, event_contexts,
-        place_ancestors, supplier_components, brand_tiers, bound_words, shared_parts, keyword_features, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
+        place_ancestors, commit_components, brand_tiers, bound_words, shared_parts, keyword_features, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
     )
     return {
         "p2_found": lambda spark, folder: log_templates.entries(table(spark, folder, "run_log")),
@@ -447,6 +445,12 @@ _BEFORE = _EDGE.format(sink=_SINK_SQL, column="before")
 _AFTER = _EDGE.format(sink=_SINK_SQL, column='"after"').replace("printed AS", "behind AS")
 
 
+_ROUTES = "'" + typing.ROUTES.replace("'", "''") + "'"
+_DECLARED_SQL = f"""declared AS (SELECT regexp_extract(line, '{typing._DECLARED}', 1) AS type, CASE WHEN language = 'java' THEN regexp_extract_all(regexp_replace(line, '<[^<>]*>', '', 'g'), '(?:extends|implements|permits|,)\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1)
+  ELSE regexp_extract_all(regexp_extract(line, 'class\\s+\\w+\\s*\\(([^)]*)\\)', 1), '([A-Za-z_][A-Za-z0-9_.]*)', 1) END AS parents FROM lines
+  WHERE regexp_matches(line, '^\\s*(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed)\\s+)*(?:class|interface|enum|record)\\s+[A-Za-z_]') AND regexp_extract(line, '{typing._DECLARED}', 1) <> '')"""
+
+
 def oracle_sql() -> dict[str, str]:
     keyword = {name: " + ".join(f"(length(t) - length(replace(t, '{n}', ''))) // {len(n)}" for n in words) for name, words in features.KEYWORDS.items()}
     keyword_cte = "kw AS (SELECT file_id, " + ", ".join(f"({e})::INT AS {n}" for n, e in keyword.items()) + " FROM (SELECT file_id, lower(code) AS t FROM {source}))"
@@ -459,6 +463,19 @@ def oracle_sql() -> dict[str, str]:
             rule(rule_id, kind, matcher, language, name) AS (VALUES {_rule_values()}),
             keys AS (SELECT DISTINCT rule_id, kind, language, key FROM (SELECT *, name AS key FROM rule UNION ALL SELECT *, regexp_extract(name, '([^.]*)$', 1) FROM rule WHERE matcher = 'MethodName'))
             SELECT rule_id, kind, count(*) AS hits, count(DISTINCT file_id) AS files FROM (SELECT DISTINCT c.file_id, c.language, c.line_no, c.callee, k.rule_id, k.kind FROM calls c JOIN keys k ON c.callee = k.key AND k.language IN ('any', c.language)) GROUP BY rule_id, kind""",
+        "commit_components": """WITH RECURSIVE e AS (SELECT DISTINCT 'r' || repo AS a, 'c' || "commit" AS b FROM samples WHERE repo <> '' AND "commit" <> ''), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+            reach AS (SELECT a AS n, a AS m FROM b UNION SELECT r.n, b.b FROM reach r JOIN b ON r.m = b.a), sizes AS (SELECT component, count(*) AS nodes FROM (SELECT n, min(m) AS component FROM reach GROUP BY n) GROUP BY component)
+            SELECT nodes, count(*) AS components FROM sizes GROUP BY nodes""",
+        "sarif_results": _FOUND + """SELECT found.cwe AS rule_id, '{"ruleId":"' || found.cwe || '","level":"' || CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END || '","message":{"text":"' || rule || ' ' || found.cwe || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || replace(path, chr(92), '/') || '"},"region":{"startLine":' || line_no || ',"startColumn":1}}}]}' AS result FROM found JOIN files USING (file_id)""",
+        "json_findings": _FOUND + """SELECT file_id, '[' || string_agg('{"line_no":' || line_no || ',"cwe":"' || cwe || '","rule":"' || rule || '","severity":"' || severity || '"}', ',' ORDER BY line_no, cwe, rule, severity) || ']' AS json FROM found GROUP BY file_id""",
+        "type_pairs": f"WITH {_LINES}, {_DECLARED_SQL} SELECT parent, count(DISTINCT child) AS children FROM (SELECT type AS child, unnest(parents) AS parent FROM declared) GROUP BY parent",
+        "route_handlers": f"""WITH {_LINES}, n AS (SELECT file_id, line_no, line, regexp_extract(regexp_extract(line, '(?:def|class)\\s+([A-Za-z_]\\w*)|(?:public|private|protected)[^=;(]*?([A-Za-z_]\\w*)\\s*\\(', 0), '([A-Za-z_]\\w*)\\s*\\(?$', 1) AS handler FROM lines),
+            a AS (SELECT *, coalesce(nullif(lead(handler, 1) OVER w, ''), nullif(lead(handler, 2) OVER w, ''), nullif(lead(handler, 3) OVER w, '')) AS ahead FROM n WINDOW w AS (PARTITION BY file_id ORDER BY line_no))
+            SELECT file_id, line_no, regexp_extract(line, {_ROUTES}, 1) AS route, ahead AS handler FROM a WHERE regexp_matches(line, {_ROUTES})""",
+        "import_targets": f"""WITH {_LINES}, i AS (SELECT DISTINCT file_id, module FROM (SELECT file_id, CASE WHEN language = 'java' THEN regexp_extract(line, '^import +([A-Za-z_][A-Za-z0-9_.]*(?:\\.\\*)?);', 1) ELSE regexp_extract(line, '^(?:import|from) +([A-Za-z_][A-Za-z0-9_.]*)', 1) END AS module FROM lines) WHERE module <> ''),
+            x AS (SELECT file_id, language, path, regexp_extract(code, '(?:^|\\n)package ([A-Za-z0-9_.]+);', 1) AS pack, regexp_extract(code, '\\b(?:class|interface|enum|record) ([A-Za-z0-9_]+)', 1) AS own FROM files),
+            known AS (SELECT module, min(file_id) AS target FROM (SELECT file_id, CASE WHEN language = 'java' THEN CASE WHEN pack <> '' AND own <> '' THEN pack || '.' || own ELSE own END ELSE regexp_extract(path, '([^/\\\\]+?)(?:\\.[^./\\\\]*)?$', 1) END AS module FROM x) WHERE module <> '' GROUP BY module)
+            SELECT i.module, count(*) AS importers, count(coalesce(w.target, p.target)) AS resolved FROM i LEFT JOIN known w ON w.module = i.module LEFT JOIN known p ON p.module = regexp_extract(i.module, '([^.]*)$', 1) GROUP BY i.module""",
         "text_findings": _FOUND + "SELECT file_id, line_no, cwe, rule, severity FROM found",
         "findings_by_weakness": _FOUND + "SELECT cwe, count(*) AS findings, count(DISTINCT file_id) AS files FROM found GROUP BY cwe",
         "severe_findings": _FOUND + "SELECT severity, count(*) AS findings FROM found WHERE severity IN ('HIGH', 'CRITICAL') GROUP BY severity",
@@ -495,5 +512,5 @@ def oracle_sql() -> dict[str, str]:
         "delta_features": f"WITH {keyword_cte.format(source='(SELECT entry_id AS file_id, before AS code FROM holdout WHERE before IS NOT NULL AND after IS NOT NULL)')}, k2 AS ({keyword_cte.format(source='(SELECT entry_id AS file_id, after AS code FROM holdout WHERE before IS NOT NULL AND after IS NOT NULL)')[7:-1]}) SELECT kw.file_id, " + ", ".join(f"k2.{n} - kw.{n} AS {n}" for n in keyword) + " FROM kw JOIN k2 USING (file_id)",
         "word_counts": f"WITH {_FILES} SELECT word, count(*) AS times FROM (SELECT unnest(regexp_split_to_array(code, '[^\\p{{L}}\\p{{N}}_]+')) AS word FROM files) WHERE strlen(word) >= 2 GROUP BY word",
         "stale_files": "WITH n AS (SELECT entry_id, before, after FROM holdout WHERE after IS NOT NULL) SELECT count(*) AS files, count(*) FILTER (before IS NULL OR before <> after) AS stale, round(count(*) FILTER (before = after)::DOUBLE / count(*), 6) AS hit_rate FROM n",
-        "dependents": f"WITH {_LINES}, i AS (SELECT DISTINCT file_id, module FROM (SELECT file_id, CASE WHEN language = 'java' THEN regexp_extract(line, '^import +([A-Za-z_][A-Za-z0-9_.]*(?:\\.\\*)?);', 1) ELSE regexp_extract(line, '^(?:import|from) +([A-Za-z_][A-Za-z0-9_.]*)', 1) END AS module FROM lines) WHERE module <> '') SELECT module, count(*) AS files FROM i WHERE module IN ('json', 'java.util.Map') GROUP BY module",
+        "dependents": f"WITH {_LINES}, i AS (SELECT DISTINCT file_id, module FROM (SELECT file_id, CASE WHEN language = 'java' THEN regexp_extract(line, '^import +([A-Za-z_][A-Za-z0-9_.]*(?:\\.\\*)?);', 1) ELSE regexp_extract(line, '^(?:import|from) +([A-Za-z_][A-Za-z0-9_.]*)', 1) END AS module FROM lines) WHERE module <> '') SELECT module, count(*) AS files FROM i WHERE module IN (SELECT module FROM i JOIN owasp_entries ON file_id = code_id) GROUP BY module",
     }

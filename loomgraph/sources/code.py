@@ -41,14 +41,15 @@ def discover(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED,
 
 
 def ignore_list(spark: SparkSession, path: str, defaults: tuple[str, ...] = IGNORED) -> list[str]:
-    """Folder names of an ignore file, one a line, `#` for comments, after the defaults; a bounded list."""
-    own = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v")).where("v != ''").limit(10_000)
+    """Folder names of an ignore file, one a line, `#` for comments, after the defaults."""
+    own = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v")).where("v != ''")
     return [*defaults, *(r["v"].rstrip("/") for r in own.collect())]
 
 
 def lines(code_files: DataFrame) -> DataFrame:
-    """(file_id, line_no, line) of every physical line, numbered from 1."""
-    return code_files.select("file_id", "language", F.posexplode(F.split("code", "\n", -1)).alias("pos", "line")).select("file_id", "language", (F.col("pos") + 1).alias("line_no"), "line")
+    """(file_id, language, line_no, n_lines, line) of every physical line, numbered from 1, with the number of its file's lines."""
+    cut = code_files.select("file_id", "language", F.split("code", "\n", -1).alias("parts"))
+    return cut.select("file_id", "language", F.size("parts").alias("n_lines"), F.posexplode("parts").alias("pos", "line")).select("file_id", "language", (F.col("pos") + 1).alias("line_no"), "n_lines", "line")
 
 
 def calls(source_lines: DataFrame) -> DataFrame:
@@ -57,11 +58,22 @@ def calls(source_lines: DataFrame) -> DataFrame:
     return found.where(~F.col("callee").isin("if", "for", "while", "switch", "catch", "return", "def", "class", "synchronized"))
 
 
+_ASSIGNMENT = r"(?s)^\s*(?:[A-Za-z_][A-Za-z0-9_<>]* +)?([A-Za-z_][A-Za-z0-9_]*) = ([^=].*)\z"
+
+
+def assigned_name(line: Column) -> Column:
+    """The plain name that a line assigns, '' where it assigns none."""
+    return F.regexp_extract(line, _ASSIGNMENT, 1)
+
+
+def assigned_value(line: Column) -> Column:
+    return F.regexp_extract(line, _ASSIGNMENT, 2)
+
+
 def assignments(source_lines: DataFrame) -> DataFrame:
     """(file_id, line_no, name, value) of the lines that assign one plain name."""
-    pattern = r"(?s)^\s*(?:[A-Za-z_][A-Za-z0-9_<>]* +)?([A-Za-z_][A-Za-z0-9_]*) = ([^=].*)\z"
-    name = F.regexp_extract("line", pattern, 1)
-    return source_lines.select("file_id", "language", "line_no", name.alias("name"), F.regexp_extract("line", pattern, 2).alias("value")).where("name != ''")
+    line = F.col("line")
+    return source_lines.select("file_id", "language", "line_no", assigned_name(line).alias("name"), assigned_value(line).alias("value")).where("name != ''")
 
 
 def imports(source_lines: DataFrame) -> DataFrame:

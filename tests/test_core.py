@@ -95,7 +95,7 @@ def test_text_rules(spark, files):
     assert {r["line_no"] for r in textscan.suppressed(lines, "nosec").collect()} == {3, 4}
     assert {(r["line_no"], r["guards"]) for r in textscan.guarded_sinks(lines).collect()} == {(8, 1)}
     assert {(r["line_no"], r["distance"]) for r in textscan.nearest_source(lines).collect()} >= {(8, 3), (11, 6)}
-    found = textscan.findings(lines, assigned)
+    found = textscan.findings(lines)
     assert 4 not in {r["line_no"] for r in found.collect()}
     assert {(r["module"], r["target"]) for r in code.resolved_imports(files).collect()} == {("os", None), ("json", None), ("os.X", None)}
     uses = spark.createDataFrame([(1, 8, "y"), (1, 7, "y"), (1, 5, "x"), (1, 9, "x")], "file_id bigint, line_no int, name string")
