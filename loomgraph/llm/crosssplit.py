@@ -272,3 +272,11 @@ def report(holdout: DataFrame, raw: DataFrame) -> DataFrame:
     return joined.groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("rows"), F.count("held_entry").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.coalesce(F.avg("best"), F.lit(0.0)), 6).alias("mean_coverage"), F.round(F.coalesce(F.max("top"), F.lit(0.0)), 6).alias("top_similarity")
     )
+
+
+#: The same by all pairs of codes of the two sides.
+FOUND_SQL = f"""
+WITH entries AS (SELECT entry_id, before, after, split_name FROM holdout UNION ALL SELECT entry_id, before, after, split_name FROM raw_entries),
+{shingles.sql_links("SELECT entry_id AS id, lower(trim(split_name)) = 'train' AS train, code FROM (SELECT entry_id, split_name, unnest([before, after]) AS code FROM entries) WHERE code <> '' AND lower(trim(split_name)) IN ('train', 'validation', 'test')", "x.train AND NOT y.train", THRESHOLD)}
+SELECT DISTINCT least(x.id, y.id) AS entry_a, greatest(x.id, y.id) AS entry_b FROM alike JOIN sets x ON x.k = a JOIN sets y ON y.k = b
+"""

@@ -182,3 +182,13 @@ WITH d AS (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM (
 t AS (SELECT item_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM (SELECT item_id, {_SQL_WORDS} AS w FROM eval_items))
 SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[i:i + {LENGTH - 1}], ' ') AS g FROM d) JOIN (SELECT item_id, array_to_string(w[i:i + {LENGTH - 1}], ' ') AS g FROM t) USING (g)
 """
+
+#: Per item: documents, and the largest share of its distinct passages in one of them.
+REPORT_SQL = f"""
+WITH d AS (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM (SELECT doc_id, {_SQL_WORDS} AS w FROM documents)),
+t AS (SELECT item_id, w, unnest(range(1, len(w) - {LENGTH - 2})) AS i FROM (SELECT item_id, {_SQL_WORDS} AS w FROM eval_items)),
+passages AS (SELECT DISTINCT item_id, array_to_string(w[i:i + {LENGTH - 1}], ' ') AS g FROM t),
+sizes AS (SELECT item_id, count(*) AS n FROM passages GROUP BY item_id),
+hits AS (SELECT item_id, doc_id, count(DISTINCT g) AS c FROM passages JOIN (SELECT doc_id, array_to_string(w[i:i + {LENGTH - 1}], ' ') AS g FROM d) USING (g) GROUP BY item_id, doc_id)
+SELECT e.item_id, count(h.doc_id) AS documents, round(coalesce(max(h.c / s.n), 0.0), 6) AS most FROM eval_items e LEFT JOIN hits h USING (item_id) LEFT JOIN sizes s USING (item_id) GROUP BY e.item_id
+"""

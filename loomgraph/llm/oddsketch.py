@@ -227,3 +227,13 @@ def found(owasp: DataFrame, samples: DataFrame) -> DataFrame:
     rows = checkpointed(rows.join(sizes, "group_id").select("group_id", "code_id"))
     a, b = rows.withColumnRenamed("code_id", "code_a"), rows.withColumnRenamed("code_id", "code_b")
     return a.join(b, "group_id").where("code_a < code_b").select("code_a", "code_b")
+
+
+#: The same by all pairs of codes and a transitive closure.
+FOUND_SQL = f"""
+WITH RECURSIVE {shingles.sql_links("SELECT code_id AS id, code FROM owasp_entries WHERE code <> '' UNION ALL SELECT code_id, code FROM samples WHERE code <> ''", "x.k < y.k", THRESHOLD)},
+edges AS (SELECT x.id AS u, y.id AS v FROM alike JOIN sets x ON x.k = a JOIN sets y ON y.k = b),
+ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reach AS (SELECT u, v FROM ways UNION SELECT r.u, w.v FROM reach r JOIN ways w ON r.v = w.u)
+SELECT u AS code_a, v AS code_b FROM reach WHERE u < v
+"""

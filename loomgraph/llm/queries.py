@@ -41,8 +41,11 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": crosssplit.FOUND_SQL,
         "p4_found": groupsplit.FOUND_SQL,
+        "p5_found": oddsketch.FOUND_SQL,
         "p7_found": leakage.FOUND_SQL,
+        "p7_report": leakage.REPORT_SQL,
         "p9_found": lookalikes.FOUND_SQL,
         "p9_consistent": lookalikes.CONSISTENT_SQL,
     }

@@ -260,3 +260,14 @@ def bin_minima(h: np.ndarray, which: np.ndarray, n: int, bins: int) -> np.ndarra
         out = np.where(gaps, moved, out)
         gaps = (out == 0) & full[:, None]
     return out
+
+
+def sql_links(codes: str, condition: str, threshold: float) -> str:
+    """DuckDB SQL of CTEs: `sets` (k, id and other columns of `codes`, n) and `alike` (a, b), all pairs of codes of a similarity, for small tables.
+
+    `codes` is SQL with id and code; `condition` is on the columns of two codes x and y.
+    """
+    tokens = r"regexp_extract_all(code, '[A-Za-z0-9_]+|[^\sA-Za-z0-9_]')"
+    return f"""sets AS (SELECT row_number() OVER () AS k, * EXCLUDE (code, t), list_distinct(list_transform(range(1, len(t) - 1), lambda i: hash(t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) AS s FROM (SELECT *, {tokens} AS t FROM ({codes}))),
+runs AS (SELECT * EXCLUDE (s), len(s) AS n, unnest(s) AS g FROM sets),
+alike AS (SELECT a, b FROM (SELECT x.k AS a, y.k AS b, count(*) AS c, any_value(x.n) AS an, any_value(y.n) AS bn FROM runs x JOIN runs y ON x.g = y.g AND {condition} GROUP BY x.k, y.k) WHERE c >= {threshold} * (an + bn - c) - 1e-9)"""
