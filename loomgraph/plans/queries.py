@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import features, findings, incremental, log_templates, metrics, program, reaching, scoring, taint, textscan, typing
+from ..operators import features, findings, incremental, log_templates, metrics, predicates, program, reaching, scoring, taint, textscan, typing
 from ..session import table
 from ..sources import code, folded, frontends, scopes
 from . import rules
@@ -341,6 +341,25 @@ def place_ancestors(spark: SparkSession, folder: str) -> DataFrame:
     return program.ancestors(nation.unionByName(customer)).groupBy("ancestor", "depth").agg(F.count(F.lit(1)).alias("below"))
 
 
+def call_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls by language: of HTTP clients, writing to web responses, and deserializing unsafely."""
+    callee = F.col("callee")
+    kinds = F.array(*(F.when(test, F.lit(name)) for name, test in (("http client", predicates.http_client(callee)), ("web writer", predicates.web_writer(callee)), ("unsafe deserializer", predicates.unsafe_deserializer(callee)))))
+    return code.calls(_lines(spark, folder)).select("language", "file_id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind")).groupBy("language", "kind").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("file_id").alias("files"))
+
+
+def guard_weaknesses(spark: SparkSession, folder: str) -> DataFrame:
+    """Conditions of `if` lines by the weaknesses they guard against."""
+    condition = F.regexp_extract("line", r"^\s*(?:\}?\s*else\s+)?(?:if|elif)\b\s*(.*)", 1)
+    rows = _lines(spark, folder).select(condition.alias("condition")).where("condition != ''")
+    return rows.select(F.explode(predicates.guarded_weaknesses(F.col("condition"))).alias("cwe")).groupBy("cwe").agg(F.count(F.lit(1)).alias("guards"))
+
+
+def test_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files by whether their path is that of a test."""
+    return _files(spark, folder).groupBy(predicates.test_file(F.col("path")).alias("test")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def commit_components(spark: SparkSession, folder: str) -> DataFrame:
     """Connected components of repositories and commits as the files' rows spell them, by size."""
     rows = table(spark, folder, "samples").where("repo != '' and commit != ''")
@@ -429,7 +448,7 @@ def queries() -> dict[str, Query]:
         suppressed_lines, guarded_sinks, nearest_source, last_assignment, return_contexts, unsupported_constructs, baseline_status, fingerprints, finding_ids, confusion, matthews, matched_truth, cohorts,
         sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, decided_branches, symbol_kinds, function_mentions, property_algorithms,
         type_pairs, route_handlers, reaching_definitions, finding_traces, flow_allowance, event_blocks, event_flows, event_contexts,
-        place_ancestors, commit_components, brand_tiers, bound_words, shared_parts, keyword_features, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
+        call_kinds, guard_weaknesses, test_files, place_ancestors, commit_components, brand_tiers, bound_words, shared_parts, keyword_features, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
     )
     return {
         "p2_found": lambda spark, folder: log_templates.entries(table(spark, folder, "run_log")),
@@ -451,6 +470,16 @@ _DECLARED_SQL = f"""declared AS (SELECT regexp_extract(line, '{typing._DECLARED}
   WHERE regexp_matches(line, '^\\s*(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed)\\s+)*(?:class|interface|enum|record)\\s+[A-Za-z_]') AND regexp_extract(line, '{typing._DECLARED}', 1) <> '')"""
 
 
+_LAST = "regexp_extract(c, '([^.]*)$', 1)"
+_PRINT = "(" + " OR ".join(f"{_LAST} = '{x}'" for x in predicates.PRINTS) + ")"
+_CALL_KINDS = f"""kinds AS (SELECT language, file_id, c, {_like('c', predicates.HTTP_CLIENTS)} AS http,
+  NOT {_like('c', predicates.NOT_WEB)} AND ({_like('c', predicates.WEB_WRITERS)} OR {_PRINT} AND NOT {_like('c', predicates.NOT_WRITERS)} AND (NOT contains(c, '.') OR {_like('c', predicates.WRITER_WORDS)})) AS web,
+  NOT (contains({_LAST}, 'safe') AND NOT contains({_LAST}, 'unsafe') OR starts_with(c, 'struct.') OR {_LAST} IN ({', '.join(f"'{x}'" for x in predicates.WRITING)})) AND ({_like('c', predicates.UNSAFE_CALLS)} OR {_LAST} IN ('unsafe_load', 'unpackb')
+    OR {_LAST} = 'loads' AND NOT regexp_matches(c, '^(json|ujson|orjson|simplejson)\\.') OR {_LAST} = 'load' AND NOT {_like('c', predicates.CERTIFICATES)} AND NOT regexp_matches(c, '^(json|ujson|orjson|toml|tomli|tomlkit)\\.')) AS unsafe
+  FROM (SELECT language, file_id, lower(callee) AS c FROM (SELECT file_id, language, unnest(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_.]*)\\(', 1)) AS callee FROM lines) WHERE callee NOT IN ('if','for','while','switch','catch','return','def','class','synchronized')))"""
+_GUARD_LIST = "[" + ", ".join(f"CASE WHEN {_like('lower(condition)', words)} THEN '{cwe}' END" for cwe, words in predicates.GUARDED) + "]"
+
+
 def oracle_sql() -> dict[str, str]:
     keyword = {name: " + ".join(f"(length(t) - length(replace(t, '{n}', ''))) // {len(n)}" for n in words) for name, words in features.KEYWORDS.items()}
     keyword_cte = "kw AS (SELECT file_id, " + ", ".join(f"({e})::INT AS {n}" for n, e in keyword.items()) + " FROM (SELECT file_id, lower(code) AS t FROM {source}))"
@@ -476,6 +505,9 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT file_id, language, path, regexp_extract(code, '(?:^|\\n)package ([A-Za-z0-9_.]+);', 1) AS pack, regexp_extract(code, '\\b(?:class|interface|enum|record) ([A-Za-z0-9_]+)', 1) AS own FROM files),
             known AS (SELECT module, min(file_id) AS target FROM (SELECT file_id, CASE WHEN language = 'java' THEN CASE WHEN pack <> '' AND own <> '' THEN pack || '.' || own ELSE own END ELSE regexp_extract(path, '([^/\\\\]+?)(?:\\.[^./\\\\]*)?$', 1) END AS module FROM x) WHERE module <> '' GROUP BY module)
             SELECT i.module, count(*) AS importers, count(coalesce(w.target, p.target)) AS resolved FROM i LEFT JOIN known w ON w.module = i.module LEFT JOIN known p ON p.module = regexp_extract(i.module, '([^.]*)$', 1) GROUP BY i.module""",
+        "call_kinds": f"WITH {_LINES}, {_CALL_KINDS} SELECT language, kind, count(*) AS calls, count(DISTINCT file_id) AS files FROM (SELECT language, file_id, unnest(list_filter([CASE WHEN http THEN 'http client' END, CASE WHEN web THEN 'web writer' END, CASE WHEN unsafe THEN 'unsafe deserializer' END], lambda k: k IS NOT NULL)) AS kind FROM kinds) GROUP BY language, kind",
+        "guard_weaknesses": f"WITH {_LINES}, g AS (SELECT regexp_extract(line, '^\\s*(?:\\}}?\\s*else\\s+)?(?:if|elif)\\b\\s*(.*)', 1) AS condition FROM lines), n AS (SELECT list_filter({_GUARD_LIST}, lambda k: k IS NOT NULL) AS named FROM g WHERE condition <> '') SELECT cwe, count(*) AS guards FROM (SELECT unnest(CASE WHEN len(named) > 0 THEN named ELSE ['CWE-22', 'CWE-89'] END) AS cwe FROM n) GROUP BY cwe",
+        "test_files": f"WITH {_FILES}, p AS (SELECT replace(lower(path), chr(92), '/') AS p FROM files) SELECT NOT (contains(p, 'benchmark') OR regexp_matches(p, '(^|/)test_cwe_[^/]*$')) AND regexp_matches(p, '/tests?/|/test_|(^|/)test_[^/]*$|_test[.](py|java)$|[.]test[.][^/]*$') AS test, count(*) AS files FROM p GROUP BY 1",
         "text_findings": _FOUND + "SELECT file_id, line_no, cwe, rule, severity FROM found",
         "findings_by_weakness": _FOUND + "SELECT cwe, count(*) AS findings, count(DISTINCT file_id) AS files FROM found GROUP BY cwe",
         "severe_findings": _FOUND + "SELECT severity, count(*) AS findings FROM found WHERE severity IN ('HIGH', 'CRITICAL') GROUP BY severity",
