@@ -242,31 +242,38 @@ def build(rows: list[tuple], params: dict[str, list[str]], language: str, rules:
     return problem, at, sinks
 
 
-def file_findings(code: str | None, language: str | None, rules: Rules) -> list[tuple]:
-    """(method, line, rule_id, cwe, severity, argument, source_line) of the sink calls of one file that tainted arguments reach.
-
-    `source_line` is the file's first source call, -1 where taint has none.
-    """
-    rows, params = lower(code, language)
+def analysed(rows: list[tuple], params: dict[str, list[str]], language: str, rules: Rules) -> tuple[list[tuple], set[str]]:
+    """(findings as in `file_findings`, names that hold tainted data) of a file's instructions."""
     if not rows or rows[0][2] == "Error":
-        return []
-    problem, at, sinks = build(rows, params, language, rules)
-    if not sinks:
-        return []
+        return [], set()
     sources = [row[8] for row in rows if row[2] in ("Call", "Alloc") and rules.match("Source", row[4], language)]
     if not sources:
-        return []
+        return [], set()
+    problem, at, sinks = build(rows, params, language, rules)
     reached: dict[int, set[str]] = defaultdict(set)
+    tainted: set[str] = set()
     for _, n, fact in solve(problem):
-        if fact != ZERO and n in sinks:
-            reached[n].add(fact.split(".", 1)[0])
+        if fact != ZERO:
+            name = fact.split(".", 1)[0]
+            tainted.add(name)
+            if n in sinks:
+                reached[n].add(name)
     out = []
     for n, facts in sorted(reached.items()):
         row = at[n]
         hit = sorted({a for a in row[5] if a in facts})
         if hit:
-            out += [(row[0], row[8], rule_id, cwe and cwe, severity, hit[0], min(sources)) for rule_id, _, cwe, severity in sinks[n]]
-    return out
+            out += [(row[0], row[8], rule_id, cwe, severity, hit[0], min(sources)) for rule_id, _, cwe, severity in sinks[n]]
+    return out, {n for n in tainted if not n.startswith("%")}
+
+
+def file_findings(code: str | None, language: str | None, rules: Rules) -> list[tuple]:
+    """(method, line, rule_id, cwe, severity, argument, source_line) of the sink calls of one file that tainted arguments reach.
+
+    `source_line` is the file's first source call.
+    """
+    rows, params = lower(code, language)
+    return analysed(rows, params, language, rules)[0]
 
 
 FINDINGS = "file_id bigint, method string, line_no int, rule string, cwe string, severity string, argument string, source_line int"

@@ -407,6 +407,16 @@ def structure_features(spark: SparkSession, folder: str) -> DataFrame:
     return features.extracted(_files(spark, folder))
 
 
+def text_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """The features of the vector that the text alone gives."""
+    return _files(spark, folder).select("file_id", *(e.alias(k) for k, e in features.text_vector(F.col("code")).items()))
+
+
+def feature_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole vector of 55 features."""
+    return features.vector(_files(spark, folder))
+
+
 def engineered_features(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.engineered(features.keyword_features(_files(spark, folder)))
 
@@ -448,7 +458,7 @@ def queries() -> dict[str, Query]:
         suppressed_lines, guarded_sinks, nearest_source, last_assignment, return_contexts, unsupported_constructs, baseline_status, fingerprints, finding_ids, confusion, matthews, matched_truth, cohorts,
         sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, decided_branches, symbol_kinds, function_mentions, property_algorithms,
         type_pairs, route_handlers, reaching_definitions, finding_traces, flow_allowance, event_blocks, event_flows, event_contexts,
-        call_kinds, guard_weaknesses, test_files, place_ancestors, commit_components, brand_tiers, bound_words, shared_parts, keyword_features, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
+        call_kinds, guard_weaknesses, test_files, place_ancestors, commit_components, brand_tiers, bound_words, shared_parts, keyword_features, text_vector, feature_vector, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
     )
     return {
         "p2_found": lambda spark, folder: log_templates.entries(table(spark, folder, "run_log")),
@@ -480,6 +490,17 @@ _CALL_KINDS = f"""kinds AS (SELECT language, file_id, c, {_like('c', predicates.
 _GUARD_LIST = "[" + ", ".join(f"CASE WHEN {_like('lower(condition)', words)} THEN '{cwe}' END" for cwe, words in predicates.GUARDED) + "]"
 
 
+def _times(words) -> str:
+    return "(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) + ")"
+
+
+_IMPORTED = "regexp_extract_all(c, '(?m)^[ \\t]*(?:import|from)[ \\t]+[\\w.]*')"
+_VECTOR_SQL = f"""v AS (SELECT file_id, {_times(features.KEYWORDS['source_words'])}::DOUBLE AS f0, {_times(features.KEYWORDS['sink_words'])}::DOUBLE AS f1, ({' + '.join(f'{_like("t", k)}::INT' for k in features.SOURCE_KINDS)})::DOUBLE AS f3,
+  {_times(features.KEYWORDS['clean_words'])}::DOUBLE AS f5, {_times(features.KEYWORDS['collection_words'])}::DOUBLE AS f8, len(list_filter({_IMPORTED}, lambda m: {_like('m', features.KEYWORDS['sink_words'])}))::DOUBLE AS f26,
+  len(list_filter({_IMPORTED}, lambda m: {_like('m', features.KEYWORDS['clean_words'])}))::DOUBLE AS f27, len({_IMPORTED})::DOUBLE AS f30, {', '.join(f'{_like("t", k)}::INT::DOUBLE AS f{42 + i}' for i, k in enumerate(features.CLEANING))},
+  {_times(features.KEYWORDS['environment_words'])}::DOUBLE AS env FROM (SELECT file_id, coalesce(code, '') AS c, lower(coalesce(code, '')) AS t FROM files))"""
+
+
 def oracle_sql() -> dict[str, str]:
     keyword = {name: " + ".join(f"(length(t) - length(replace(t, '{n}', ''))) // {len(n)}" for n in words) for name, words in features.KEYWORDS.items()}
     keyword_cte = "kw AS (SELECT file_id, " + ", ".join(f"({e})::INT AS {n}" for n, e in keyword.items()) + " FROM (SELECT file_id, lower(code) AS t FROM {source}))"
@@ -539,6 +560,7 @@ def oracle_sql() -> dict[str, str]:
         "brand_tiers": "WITH e AS (SELECT p_brand, p_type, min(p_size) AS t FROM part GROUP BY ALL HAVING min(p_size) <= 5), b AS (SELECT p_brand, min(p_size) AS t FROM part GROUP BY ALL) SELECT p_partkey, coalesce(e.t, b.t) AS target, CASE WHEN e.t IS NULL THEN 2 ELSE 1 END AS tier FROM part JOIN b USING (p_brand) LEFT JOIN e USING (p_brand, p_type)",
         "bound_words": "WITH s AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part), x AS (SELECT p_partkey, len(w) AS n, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS value FROM s) SELECT name, value, count(*) AS times FROM (SELECT ['a', 'b', 'c'][(pos - greatest(n - 3, 0) + 1)::INT] AS name, value FROM x WHERE pos - greatest(n - 3, 0) BETWEEN 0 AND 2) GROUP BY name, value",
         "shared_parts": "WITH h AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS n FROM h GROUP BY s), b AS (SELECT x.s, count(*) AS shared FROM h x JOIN h y ON y.s = x.s + 1 AND y.p = x.p GROUP BY x.s) SELECT n.s AS a, n.n AS na, m.n AS nb, coalesce(shared, 0) AS shared, n.n - coalesce(shared, 0) AS alone FROM n JOIN n m ON m.s = n.s + 1 LEFT JOIN b ON b.s = n.s",
+        "text_vector": f"WITH {_FILES}, {_VECTOR_SQL} SELECT * EXCLUDE (env), (f0 > 1)::INT::DOUBLE AS f34, round(f1 / greatest(f5, 1), 6) AS f51, round(env / greatest(f0, 1), 6) AS f54 FROM v",
         "keyword_features": f"WITH {_FILES}, {keyword_cte.format(source='files')} SELECT * FROM kw",
         "engineered_features": f"WITH {_FILES}, {keyword_cte.format(source='files')} SELECT file_id, {engineered} FROM kw",
         "delta_features": f"WITH {keyword_cte.format(source='(SELECT entry_id AS file_id, before AS code FROM holdout WHERE before IS NOT NULL AND after IS NOT NULL)')}, k2 AS ({keyword_cte.format(source='(SELECT entry_id AS file_id, after AS code FROM holdout WHERE before IS NOT NULL AND after IS NOT NULL)')[7:-1]}) SELECT kw.file_id, " + ", ".join(f"k2.{n} - kw.{n} AS {n}" for n in keyword) + " FROM kw JOIN k2 USING (file_id)",
