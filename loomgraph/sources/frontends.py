@@ -387,10 +387,45 @@ class JavaFrontend(_Writer):
         return args, at
 
 
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def unindented(code: str) -> str:
+    """Python code whose first line is indented by eight or more, made to parse; other code stays as it is.
+
+    Lines ahead of the first class or function lose their indentation.  Between a class's
+    line and its first function, lines that only make sense elsewhere (deeply indented, or
+    closing what they never opened) become one `pass`, and comments after that.
+    """
+    lines = code.split("\n")
+    if _indent(next((x for x in lines if x.strip()), "")) < 8:
+        return code
+    heads = [i for i, x in enumerate(lines) if x.strip().startswith(("class ", "def "))]
+    top = heads[0] if heads else len(lines)
+    out = [x.lstrip() if i < top else x for i, x in enumerate(lines)]
+    for i, start in enumerate(heads):
+        if not lines[start].strip().startswith("class "):
+            continue
+        opened, passed = 0, False
+        for at in range(start + 1, heads[i + 1] if i + 1 < len(heads) else len(lines)):
+            text = lines[at].strip()
+            if not text:
+                continue
+            change = sum(map(text.count, "([{")) - sum(map(text.count, ")]}"))
+            stray = (change < 0 and not opened) or (_indent(lines[at]) >= 12 and not text.startswith(("#", '"""', "'''")))
+            if stray:
+                out[at] = f"# stripped: {text}" if passed else "    pass"
+                passed = True
+            else:
+                opened = max(0, opened + change)
+    return "\n".join(out)
+
+
 def lower_python(code: str) -> tuple[list[tuple], dict[str, list[str]]]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        front = PythonFrontend(ast.parse(code))
+        front = PythonFrontend(ast.parse(unindented(code)))
     return front.rows, front.params
 
 
