@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import fingerprint, location, sarif_level, severity_rank
+from ..session import checkpointed
 
 # Fixed values.
 ADVICE = {
@@ -42,9 +43,10 @@ def numbered(found: DataFrame) -> DataFrame:
     """Findings with ids F-0001, F-0002, ... in order of file, line, weakness and rule.
 
     Positions come from each partition's size ahead of it in a range-ordered table,
-    not from one window over all rows.
+    not from one window over all rows.  The table is written first, as its ranges are
+    sampled and may differ when it is made again.
     """
-    ordered = found.repartitionByRange("file_id", "line_no", "cwe", "rule").sortWithinPartitions("file_id", "line_no", "cwe", "rule").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    ordered = checkpointed(found.repartitionByRange("file_id", "line_no", "cwe", "rule").sortWithinPartitions("file_id", "line_no", "cwe", "rule").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     first = ordered.groupBy("part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     ahead = first.select("part", "first", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
     return ordered.join(F.broadcast(ahead), "part").withColumn("finding_id", F.format_string("F-%04d", (F.col("ahead") + F.col("at") - F.col("first") + 1).cast("bigint"))).drop("part", "at", "first", "ahead")
@@ -106,6 +108,16 @@ def write_sarif(found: DataFrame, path: str, tool: str = "loomgraph") -> None:
     spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/run")
 
 
+def regression_cases(code_files: DataFrame, found: DataFrame) -> DataFrame:
+    """Files with `outcome` whose findings contradict their label: `missed` or `false alarm`; files without a label are none.
+
+    A set of cases to keep is this table written anywhere.
+    """
+    hit = found.select("file_id").distinct().withColumn("hit", F.lit(True))
+    judged = code_files.where("vulnerable is not null").join(hit, "file_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return judged.where(F.col("hit") != F.col("vulnerable")).withColumn("outcome", F.when(F.col("vulnerable"), "missed").otherwise("false alarm")).drop("hit")
+
+
 def html_report(found: DataFrame, most: int = 1000) -> str:
     """A page of the `most` severest findings, a top-k report."""
     from html import escape

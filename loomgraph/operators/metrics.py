@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +46,23 @@ def matched_truth(found: DataFrame, truth: DataFrame) -> DataFrame:
     by_file = truth.where("line_no = 0").groupBy("file_id").agg(F.max("vulnerable").alias("whole"))
     joined = found.select("file_id", "line_no", "cwe").distinct().join(by_line, ["file_id", "line_no"], "left").join(by_file, "file_id", "left")
     return joined.select("file_id", "line_no", "cwe", F.coalesce("exact", "whole").alias("vulnerable"))
+
+
+class Phases:
+    """Seconds that named phases of a session took on the driver; a phase that runs again adds up, one that fails counts, too."""
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+
+    @contextmanager
+    def phase(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """(phase, seconds, share) in the order in which phases began."""
+        whole = sum(self.seconds.values()) or 1.0
+        return spark.createDataFrame([(k, v, v / whole) for k, v in self.seconds.items()], "phase string, seconds double, share double")

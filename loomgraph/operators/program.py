@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpointed
 from .graph import connected_components
 
 __all__ = ["ancestors", "blocks", "call_edges", "cfg_edges", "connected_components", "descendants", "icfg_edges", "leaders", "merged", "resolved_calls", "tiered"]
@@ -96,8 +97,13 @@ def merged(programs: DataFrame, key: str, *foreign: str) -> DataFrame:
     """Rows of several programs (program_id, key, foreign keys) with keys numbered anew over all: the program's offset and the rank inside it."""
     inside = programs.withColumn("_rank", F.dense_rank().over(Window.partitionBy("program_id").orderBy(key)))
     sizes = inside.groupBy("program_id").agg(F.max("_rank").alias("n"))
-    offset = sizes.select("program_id", (F.sum("n").over(Window.orderBy("program_id")) - F.col("n")).alias("_offset"))
-    out = inside.join(F.broadcast(offset), "program_id").withColumn("_new", F.col("_rank") + F.col("_offset"))
+    # Running sums in two steps: over the partitions of a range-ordered table, then inside each.
+    ranged = checkpointed(sizes.repartitionByRange("program_id").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("size"))
+    ahead = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("ahead"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("program_id"))
+    offset = ranged.withColumn("upto", upto).join(F.broadcast(ahead), "part").select("program_id", (F.col("ahead") + F.col("upto") - F.col("n")).alias("_offset"))
+    out = inside.join(offset, "program_id").withColumn("_new", F.col("_rank") + F.col("_offset"))
     names = out.select("program_id", F.col(key).alias("_old"), F.col("_new").alias("_to")).distinct()
     for column in foreign:
         out = out.join(names.withColumnRenamed("_old", column).withColumnRenamed("_to", f"_{column}"), ["program_id", column], "left").drop(column).withColumnRenamed(f"_{column}", column)
@@ -109,8 +115,6 @@ def merged(programs: DataFrame, key: str, *foreign: str) -> DataFrame:
 
 def ancestors(parents: DataFrame, child: str = "child", parent: str = "parent", most: int = 100) -> DataFrame:
     """(node, ancestor, depth) along a child-parent table, nearest depth first kept; cycles end by the nodes already seen."""
-    from ..session import checkpointed
-
     step = parents.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct()
     total = step.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).alias("depth"))
     fresh = total

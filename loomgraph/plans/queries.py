@@ -360,6 +360,15 @@ def test_files(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder).groupBy(predicates.test_file(F.col("path")).alias("test")).agg(F.count(F.lit(1)).alias("files"))
 
 
+def regression_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose line findings contradict their label."""
+    return findings.regression_cases(_files(spark, folder), _found(spark, folder)).select("file_id", "outcome")
+
+
+def import_stubs(spark: SparkSession, folder: str) -> DataFrame:
+    return code.import_stubs(_files(spark, folder))
+
+
 def commit_components(spark: SparkSession, folder: str) -> DataFrame:
     """Connected components of repositories and commits as the files' rows spell them, by size."""
     rows = table(spark, folder, "samples").where("repo != '' and commit != ''")
@@ -458,7 +467,7 @@ def queries() -> dict[str, Query]:
         suppressed_lines, guarded_sinks, nearest_source, last_assignment, return_contexts, unsupported_constructs, baseline_status, fingerprints, finding_ids, confusion, matthews, matched_truth, cohorts,
         sarif_results, console_lines, json_findings, directory_summary, taint_findings, instruction_kinds, cfg_edge_kinds, icfg_edge_kinds, call_graph, pointed_sites, decided_branches, symbol_kinds, function_mentions, property_algorithms,
         type_pairs, route_handlers, reaching_definitions, finding_traces, flow_allowance, event_blocks, event_flows, event_contexts,
-        call_kinds, guard_weaknesses, test_files, place_ancestors, commit_components, brand_tiers, bound_words, shared_parts, keyword_features, text_vector, feature_vector, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
+        call_kinds, guard_weaknesses, test_files, regression_cases, import_stubs, place_ancestors, commit_components, brand_tiers, bound_words, shared_parts, keyword_features, text_vector, feature_vector, structure_features, engineered_features, delta_features, predictions, word_counts, stale_files, dependents,
     )
     return {
         "p2_found": lambda spark, folder: log_templates.entries(table(spark, folder, "run_log")),
@@ -501,6 +510,11 @@ _VECTOR_SQL = f"""v AS (SELECT file_id, {_times(features.KEYWORDS['source_words'
   {_times(features.KEYWORDS['environment_words'])}::DOUBLE AS env FROM (SELECT file_id, coalesce(code, '') AS c, lower(coalesce(code, '')) AS t FROM files))"""
 
 
+_IMPORTS = """i AS (SELECT DISTINCT file_id, module FROM (SELECT file_id, CASE WHEN language = 'java' THEN regexp_extract(line, '^import +([A-Za-z_][A-Za-z0-9_.]*(?:\\.\\*)?);', 1) ELSE regexp_extract(line, '^(?:import|from) +([A-Za-z_][A-Za-z0-9_.]*)', 1) END AS module FROM lines) WHERE module <> ''),
+            x AS (SELECT file_id, language, path, regexp_extract(code, '(?:^|\\n)package ([A-Za-z0-9_.]+);', 1) AS pack, regexp_extract(code, '\\b(?:class|interface|enum|record) ([A-Za-z0-9_]+)', 1) AS own FROM files),
+            known AS (SELECT module, min(file_id) AS target FROM (SELECT file_id, CASE WHEN language = 'java' THEN CASE WHEN pack <> '' AND own <> '' THEN pack || '.' || own ELSE own END ELSE regexp_extract(path, '([^/\\\\]+?)(?:\\.[^./\\\\]*)?$', 1) END AS module FROM x) WHERE module <> '' GROUP BY module)"""
+
+
 def oracle_sql() -> dict[str, str]:
     keyword = {name: " + ".join(f"(length(t) - length(replace(t, '{n}', ''))) // {len(n)}" for n in words) for name, words in features.KEYWORDS.items()}
     keyword_cte = "kw AS (SELECT file_id, " + ", ".join(f"({e})::INT AS {n}" for n, e in keyword.items()) + " FROM (SELECT file_id, lower(code) AS t FROM {source}))"
@@ -522,9 +536,10 @@ def oracle_sql() -> dict[str, str]:
         "route_handlers": f"""WITH {_LINES}, n AS (SELECT file_id, line_no, line, regexp_extract(regexp_extract(line, '(?:def|class)\\s+([A-Za-z_]\\w*)|(?:public|private|protected)[^=;(]*?([A-Za-z_]\\w*)\\s*\\(', 0), '([A-Za-z_]\\w*)\\s*\\(?$', 1) AS handler FROM lines),
             a AS (SELECT *, coalesce(nullif(lead(handler, 1) OVER w, ''), nullif(lead(handler, 2) OVER w, ''), nullif(lead(handler, 3) OVER w, '')) AS ahead FROM n WINDOW w AS (PARTITION BY file_id ORDER BY line_no))
             SELECT file_id, line_no, regexp_extract(line, {_ROUTES}, 1) AS route, ahead AS handler FROM a WHERE regexp_matches(line, {_ROUTES})""",
-        "import_targets": f"""WITH {_LINES}, i AS (SELECT DISTINCT file_id, module FROM (SELECT file_id, CASE WHEN language = 'java' THEN regexp_extract(line, '^import +([A-Za-z_][A-Za-z0-9_.]*(?:\\.\\*)?);', 1) ELSE regexp_extract(line, '^(?:import|from) +([A-Za-z_][A-Za-z0-9_.]*)', 1) END AS module FROM lines) WHERE module <> ''),
-            x AS (SELECT file_id, language, path, regexp_extract(code, '(?:^|\\n)package ([A-Za-z0-9_.]+);', 1) AS pack, regexp_extract(code, '\\b(?:class|interface|enum|record) ([A-Za-z0-9_]+)', 1) AS own FROM files),
-            known AS (SELECT module, min(file_id) AS target FROM (SELECT file_id, CASE WHEN language = 'java' THEN CASE WHEN pack <> '' AND own <> '' THEN pack || '.' || own ELSE own END ELSE regexp_extract(path, '([^/\\\\]+?)(?:\\.[^./\\\\]*)?$', 1) END AS module FROM x) WHERE module <> '' GROUP BY module)
+        "import_stubs": f"""WITH {_LINES}, {_IMPORTS} SELECT i.module, i.module || '.value' AS method, 'value' AS parameter, count(DISTINCT i.file_id) AS importers FROM i JOIN files f ON f.file_id = i.file_id AND f.language = 'python'
+            WHERE i.module NOT IN (SELECT module FROM known) AND regexp_extract(i.module, '([^.]*)$', 1) NOT IN (SELECT module FROM known) GROUP BY i.module""",
+        "regression_cases": _FOUND + "SELECT file_id, CASE WHEN vulnerable THEN 'missed' ELSE 'false alarm' END AS outcome FROM files WHERE vulnerable <> (file_id IN (SELECT file_id FROM found))",
+        "import_targets": f"""WITH {_LINES}, {_IMPORTS}
             SELECT i.module, count(*) AS importers, count(coalesce(w.target, p.target)) AS resolved FROM i LEFT JOIN known w ON w.module = i.module LEFT JOIN known p ON p.module = regexp_extract(i.module, '([^.]*)$', 1) GROUP BY i.module""",
         "call_kinds": f"WITH {_LINES}, {_CALL_KINDS} SELECT language, kind, count(*) AS calls, count(DISTINCT file_id) AS files FROM (SELECT language, file_id, unnest(list_filter([CASE WHEN http THEN 'http client' END, CASE WHEN web THEN 'web writer' END, CASE WHEN unsafe THEN 'unsafe deserializer' END], lambda k: k IS NOT NULL)) AS kind FROM kinds) GROUP BY language, kind",
         "guard_weaknesses": f"WITH {_LINES}, g AS (SELECT regexp_extract(line, '^\\s*(?:\\}}?\\s*else\\s+)?(?:if|elif)\\b\\s*(.*)', 1) AS condition FROM lines), n AS (SELECT list_filter({_GUARD_LIST}, lambda k: k IS NOT NULL) AS named FROM g WHERE condition <> '') SELECT cwe, count(*) AS guards FROM (SELECT unnest(CASE WHEN len(named) > 0 THEN named ELSE ['CWE-22', 'CWE-89'] END) AS cwe FROM n) GROUP BY cwe",

@@ -103,6 +103,16 @@ def resolved_imports(code_files: DataFrame) -> DataFrame:
     return part.select("file_id", "module", F.coalesce("whole", "part").alias("target"))
 
 
+def import_stubs(code_files: DataFrame) -> DataFrame:
+    """(module, method, parameter, importers): a method that hands its one argument on, for each module that Python files import and no file is.
+
+    With these rows beside a program's own, data passes through calls into code that isn't there.
+    """
+    python = code_files.where("language = 'python'").select("file_id")
+    missing = resolved_imports(code_files).where("target is null").join(python, "file_id", "left_semi")
+    return missing.groupBy("module").agg(F.countDistinct("file_id").alias("importers")).select("module", F.concat("module", F.lit(".value")).alias("method"), F.lit("value").alias("parameter"), "importers")
+
+
 # Labels.
 
 

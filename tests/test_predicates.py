@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from loomgraph.operators import predicates
+from loomgraph.operators import findings, metrics, predicates
+from loomgraph.sources import code
 
 
 def true_of(spark, values, test):
@@ -38,3 +39,16 @@ def test_good_and_bad_cases(spark):
     stems = spark.createDataFrame([("CWE1_x",), ("CWE2_y",), ("CWE3_z",)], "stem string")
     r = predicates.good_and_bad(found, stems).collect()[0]
     assert (r["tp"], r["fp"], r["fn"], r["tn"]) == (2, 1, 1, 2)
+
+
+def test_cases_stubs_and_phases(spark):
+    files = spark.createDataFrame([(1, "a.py", "python", "import gone.lib\nimport b", True), (2, "b.py", "python", "import gone.lib", False), (3, "c.py", "python", None, None), (4, "D.java", "java", "import x.Y;", False)], "file_id long, path string, language string, code string, vulnerable boolean")
+    found = spark.createDataFrame([(2, 1), (2, 3), (3, 1)], "file_id long, line_no int")
+    assert {(r["file_id"], r["outcome"]) for r in findings.regression_cases(files, found).collect()} == {(1, "missed"), (2, "false alarm")}
+    assert [tuple(r) for r in code.import_stubs(files).collect()] == [("gone.lib", "gone.lib.value", "value", 2)]
+    phases = metrics.Phases()
+    for name in ("read", "solve", "read"):
+        with phases.phase(name):
+            pass
+    rows = phases.summary(spark).collect()
+    assert [r["phase"] for r in rows] == ["read", "solve"] and abs(sum(r["share"] for r in rows) - 1) < 1e-9
