@@ -172,20 +172,23 @@ def mentions(functions: DataFrame) -> DataFrame:
 def findings(source_lines: DataFrame, reach: int = 20) -> DataFrame:
     """All line findings: the text rules, and sinks with a source at most `reach` lines above; suppressed lines are left out.
 
-    One projection marks all rules; only marked lines are brought together by file.
+    One projection marks all rules, patterns only on lines that have a rule's words;
+    only marked lines are brought together by file.
     """
     low = F.lower("line")
     name, value = assigned_name(F.col("line")), assigned_value(F.col("line"))
     literal = F.regexp_extract(value, r"(?s)^[\"'](.*)[\"'];?\z", 1)
     one = lambda cwe, rule, severity: F.struct(cwe.alias("cwe"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))
-    credential = F.when(any_of(F.lower(name), CREDENTIAL_NAMES) & (F.octet_length(literal) >= 8), F.round(entropy(literal), 6) > 3.0).otherwise(False)
+    credential = F.when(any_of(low, CREDENTIAL_NAMES), F.when(any_of(F.lower(name), CREDENTIAL_NAMES) & (F.octet_length(literal) >= 8), F.round(entropy(literal), 6) > 3.0))
     hashes, ciphers = (_whole_word(low, words) for words in (WEAK_HASHES, WEAK_CIPHERS))
-    weak = low.rlike(_IN_CALL) & (hashes | ciphers)
+    weak = F.when(any_of(low, WEAK_HASHES + WEAK_CIPHERS), (hashes | ciphers) & low.rlike(_IN_CALL))
+    header = F.when(low.contains(".headers["), low.rlike(_HEADER_SET))
+    marker = F.when(F.col("line").contains(SUPPRESSION), F.when(_marked(SUPPRESSION), F.col("line_no")))
     rules = F.array(
-        F.when(credential, one(F.lit("CWE-798"), "literal-credential", "CRITICAL")), F.when(weak, one(F.lit("CWE-327"), "weak-cryptography", "MEDIUM")), F.when(weak & hashes, one(F.lit("CWE-328"), "weak-cryptography", "MEDIUM")), F.when(low.rlike(_HEADER_SET), one(F.lit("CWE-113"), "response-header", "MEDIUM"))
+        F.when(credential, one(F.lit("CWE-798"), "literal-credential", "CRITICAL")), F.when(weak, one(F.lit("CWE-327"), "weak-cryptography", "MEDIUM")), F.when(weak & hashes, one(F.lit("CWE-328"), "weak-cryptography", "MEDIUM")), F.when(header, one(F.lit("CWE-113"), "response-header", "MEDIUM"))
     )
     marked = source_lines.select(
-        "file_id", "line_no", F.filter(rules, lambda r: r.isNotNull()).alias("rules"), sink_weakness(F.col("line")).alias("sink"), F.when(source_domain(F.col("line")).isNotNull(), F.col("line_no")).alias("read_at"), F.when(_marked(SUPPRESSION), F.col("line_no")).alias("marked_at")
+        "file_id", "line_no", F.filter(rules, lambda r: r.isNotNull()).alias("rules"), sink_weakness(F.col("line")).alias("sink"), F.when(source_domain(F.col("line")).isNotNull(), F.col("line_no")).alias("read_at"), marker.alias("marked_at")
     ).where("size(rules) > 0 or sink is not null or read_at is not null or marked_at is not null")
     by = Window.partitionBy("file_id").orderBy("line_no")
     last = F.max("read_at").over(by.rowsBetween(Window.unboundedPreceding, 0))
