@@ -4,8 +4,10 @@ A fixed-depth template tree does the parsing.  A line is masked: times, levels,
 numbers, tags, program names and key=value pairs become classes.  The tree routes
 a masked line by its number of tokens and its leading tokens to a leaf, where it
 joins the most similar template or founds one; positions at which merged lines
-differ become wildcards.  Every partition grows a tree over all of its lines, and
-each line keeps its template's number and the values of its leading tokens.
+differ become wildcards.  Lines are masked and kept in templates whole, however long.
+Every partition grows a tree over all of its lines, another one where its templates
+take HELD tokens, and each line keeps its template's number and the values of its
+leading tokens.
 
 Which positions hold time, level and component is inferred from the templates of
 all trees: from the classes a template begins with, from what encloses a position,
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
@@ -38,8 +41,10 @@ DEPTH = 3
 SIMILARITY = 0.5
 CHILDREN = 48
 TEMPLATES = 48
-LONGEST = 48
 BLOCK = 65_536
+#: Tokens of templates after which a partition goes on with another tree, and characters of lines remembered or templates sent at once.
+HELD = 2_000_000
+SENT = 1 << 24
 #: The year of times that state none, where a line has no time of receipt.
 YEAR = 2026
 
@@ -73,11 +78,12 @@ _TIME = {k: re.compile(v) for k, v in _TIMES.items()}
 _GLOG = re.compile(r"(?P<lv>[TVDIWEFC])(?P<mo>\d\d)(?P<d>\d\d) (?P<h>\d\d):(?P<mi>\d\d):(?P<s>\d\d)(?:\.(?P<f>\d{1,9}))?(?![\w:])")
 _PRI = re.compile(r"<(\d{1,3})>(1 )?")
 _LEVEL_WORD = re.compile(r"(?i)(" + "|".join(sorted(LEVELS, key=len, reverse=True)) + r")(?![\w.\-/])")
-_TAGGED = re.compile(r"(##)?\[\s*([^\[\]]{1,120}?)\s*\]")
+_TAGGED = re.compile(r"(##)?\[([^\[\]]+)\]")
 _TAG = re.compile(r"[A-Za-z][\w.:/\-]*")
 _PROGRAM = re.compile(r"([A-Za-z][\w./\-]*)\[(\d+)\]:?(?=\s|$)")
 _FILE = re.compile(r"([\w./\-]+\.\w+):(\d+)\](?=\s|$)")
 _PAIR = re.compile(r"(@?[A-Za-z][\w.]*)=(\"(?:[^\"\\]|\\.)*\"|[^\s,;]*)[,;]?")
+_NEXT_PAIR = re.compile(r"[ \t]*" + _PAIR.pattern)
 _NUMBER = re.compile(r"[-+]?\d[\d.,]*(?:%|[a-zµμ]{1,2})?[.,;:]?$")
 _DIGITS = re.compile(r"\d+")
 
@@ -135,8 +141,8 @@ def _level(word: object) -> str:
     return LEVELS.get(str(word).strip().lower(), "")
 
 
-def mask(line: str) -> tuple[list[str], list[str]]:
-    """The tokens of a line as classes, and what each stands for; the front is scanned, the message is split at blanks."""
+def _scan(line: str, limit: int, parts: bool = False) -> tuple[list[str], list[str], int]:
+    """The classes of a line's leading tokens, what each stands for, and where they end; with `parts` only as far as parts of a front go."""
     classes: list[str] = []
     values: list[str] = []
     at, size = 0, len(line)
@@ -158,7 +164,7 @@ def mask(line: str) -> tuple[list[str], list[str]]:
                 at += 1
                 break
     seen_time = False
-    while at < size and len(classes) < _FRONT_TOKENS:
+    while at < size and len(classes) < limit and not (parts and not all(_part_at(classes, i) for i in range(max(len(classes) - 3, 0), len(classes)))):
         c = line[at]
         if c in " \t":
             at += 1
@@ -180,12 +186,13 @@ def mask(line: str) -> tuple[list[str], list[str]]:
             at += 1
             continue
         if c in "[#" and (m := _TAGGED.match(line, at)):
-            if _level(m[2]):
-                add(f"{m[1] or ''}[<LEVEL>]", m[2])
+            text = m[2].strip() or " "
+            if _level(text):
+                add(f"{m[1] or ''}[<LEVEL>]", text)
                 at = m.end()
                 continue
             if not m[1]:
-                add("[<TAG>]" if _TAG.fullmatch(m[2]) else "[<TEXT>]", m[2])
+                add("[<TAG>]" if _TAG.fullmatch(text) else "[<TEXT>]", text)
                 at = m.end()
                 continue
         # Outside of brackets and fields only capitals are a level: `notice:` is a word like any other.
@@ -209,9 +216,7 @@ def mask(line: str) -> tuple[list[str], list[str]]:
             at = m.end()
             continue
         if m := _PAIR.match(line, at):
-            key = m[1].lower()
-            value = m[2][1:-1] if m[2][:1] == '"' and len(m[2]) > 1 else m[2]
-            add("<KV:time>" if key in TIME_KEYS else "<KV:level>" if key in LEVEL_KEYS else "<KV:component>" if key in COMPONENT_KEYS else "<KV>", value)
+            add(*_pair(m))
             at = m.end()
             continue
         end = at
@@ -237,13 +242,41 @@ def mask(line: str) -> tuple[list[str], list[str]]:
         else:
             add(_DIGITS.sub("<N>", word), word)
         at = end
-    for word in line[at:].split(None, LONGEST)[:LONGEST]:
+    return classes, values, at
+
+
+def mask(line: str) -> tuple[list[str], list[str]]:
+    """The tokens of a line as classes, and what each stands for; the front is scanned, the message is split at blanks."""
+    classes, values, at = _scan(line, _FRONT_TOKENS)
+    if at < len(line) and all(c.startswith("<KV") for c in classes):
+        # A front of pairs goes as far as they do; past its leading tokens only the fields it lacks are kept.
+        ahead = at
+        while m := _NEXT_PAIR.match(line, ahead):
+            kind, value = _pair(m)
+            if kind != "<KV>" and kind not in classes:
+                classes.append(kind)
+                values.append(value)
+            ahead = m.end()
+    elif at < len(line) and _goes_on(classes):
+        # Other fronts go as far as the time and the level they lack, two tokens more with them.
+        far = _leading(_scan(line, len(line), True)[0])
+        if far > _FRONT_TOKENS:
+            classes, values, at = _scan(line, far)
+    for word in line[at:].split():
         if "=" in word and _PAIR.match(word):
             continue  # pairs come in any number and order and tell nothing of the layout
-        add("<N>" if _NUMBER.match(word) else _DIGITS.sub("<N>", word), word)
+        classes.append("<N>" if _NUMBER.match(word) else _DIGITS.sub("<N>", word))
+        values.append(word)
     return classes, values
 
 
+def _pair(m: re.Match) -> tuple[str, str]:
+    """The class of a matched pair and its value without quotes."""
+    key = m[1].lower()
+    value = m[2][1:-1] if m[2][:1] == '"' and len(m[2]) > 1 else m[2]
+    return "<KV:time>" if key in TIME_KEYS else "<KV:level>" if key in LEVEL_KEYS else "<KV:component>" if key in COMPONENT_KEYS else "<KV>", value
+
+
 def _name_end(word: str) -> int:
     """Where a name ends that is followed by a single colon; `::` belongs to names."""
     at = 0
@@ -263,7 +296,10 @@ class TemplateTree:
         self.children: dict[tuple, int] = {}
         #: [template, lines] by number.
         self.known: list[list] = []
-        self._seen: dict[tuple, int] = {}
+        #: Tokens of all templates.
+        self.held = 0
+        self._seen: dict[str, int] = {}
+        self._remembered = 0
 
     def _route(self, classes: list[str]) -> tuple:
         path: tuple = (len(classes),)
@@ -283,9 +319,8 @@ class TemplateTree:
         return sum(map(str.__eq__, template, classes)) / max(len(classes), 1)
 
     def add(self, classes: list[str], count: int = 1) -> int:
-        """The number of the template that a masked line joins or founds; tokens past LONGEST take no part."""
-        classes = classes[:LONGEST]
-        exact = tuple(classes)
+        """The number of the template that a masked line joins or founds."""
+        exact = " ".join(classes)  # no token has a blank
         if (number := self._seen.get(exact)) is not None:
             self.known[number][1] += count
             return number
@@ -303,11 +338,14 @@ class TemplateTree:
             entry[1] += count
         else:
             best = len(self.known)
-            self.known.append([classes, count])
+            self.known.append([list(map(sys.intern, classes)), count])
+            self.held += len(classes)
             leaf.append(best)
-        if len(self._seen) > 100_000:
+        if len(self._seen) > 100_000 or self._remembered > SENT:
             self._seen.clear()
+            self._remembered = 0
         self._seen[exact] = best
+        self._remembered += len(exact)
         return best
 
     def templates(self) -> Iterator[tuple[list[str], int]]:
@@ -320,6 +358,8 @@ _OPENS = re.compile(r"<(?:PRI[35]|GLOG|TIME:[^>]*|LEVEL|KV:(?:time|level|compone
 #: What a front is made of, words between separators aside.
 _PART = re.compile(r"<(?:PRI[35]|GLOG|TIME:[^>]*|LEVEL|LETTER)>|(?:##)?\[<LEVEL>\]|\[<(?:TAG|TEXT)>\]|[|:\-\[]$")
 _FREE = ("<*>", "<NAME>")
+_LEVELLED = frozenset(("<LEVEL>", "[<LEVEL>]", "##[<LEVEL>]", "<LETTER>", "<GLOG>", "<PRI3>", "<PRI5>"))
+_PAIRED = ("<KV:time>", "<KV:level>", "<KV:component>")
 
 
 @lru_cache(maxsize=100_000)
@@ -327,9 +367,43 @@ def _class(token: str) -> str:
     return token if _FRONT_CLASS.match(token) else "<*>"
 
 
+def _part_at(classes: list[str], i: int) -> bool:
+    """Whether a token is a part of a front or a word that separators enclose; the last word has none behind it yet."""
+    kind = _class(classes[i])
+    if kind in _FREE:
+        return i > 0 and classes[i - 1] in ("|", "-") and (i + 1 == len(classes) or classes[i + 1] == classes[i - 1])
+    return _PART.match(kind) is not None
+
+
+def _is_time(kind: str) -> bool:
+    return kind.startswith("<TIME") or kind == "<GLOG>"
+
+
+def _goes_on(classes: list[str]) -> bool:
+    """Whether the leading tokens are all parts of a front that lacks a time or a level."""
+    leading = classes[:_FRONT_TOKENS]
+    return (_LEVELLED.isdisjoint(leading) or not any(map(_is_time, leading))) and all(_part_at(classes, i) for i in range(len(leading)))
+
+
+def _leading(classes: list[str]) -> int:
+    """How many tokens a front may take: the leading ones, and those with fields behind them that `mask` kept."""
+    end = _FRONT_TOKENS
+    if classes[0].startswith("<KV"):
+        while end < len(classes) and classes[end] in _PAIRED:
+            end += 1
+    elif len(classes) > end and _goes_on(classes):
+        level, time = not _LEVELLED.isdisjoint(classes[:end]), any(map(_is_time, classes[:end]))
+        for i in range(end, len(classes)):
+            if level and time or not _part_at(classes, i):
+                break
+            if not level and classes[i] in _LEVELLED or not time and _is_time(classes[i]):
+                level, time, end = level or classes[i] in _LEVELLED, time or _is_time(classes[i]), i + 3
+    return end
+
+
 def front(classes: list[str]) -> tuple[str, ...]:
     """The classes at a line's front; words between them are wildcards."""
-    return tuple(map(_class, classes[:_FRONT_TOKENS]))
+    return tuple(map(_class, classes[: _leading(classes)]))
 
 
 def _run(kind: tuple[str, ...]) -> int:
@@ -382,9 +456,9 @@ def positions(kind: tuple[str, ...], named: set[tuple[str, ...]]) -> dict[str, i
     run = _run(kind)
     out: dict[str, int] = {}
     for i in reversed(range(run)):
-        if kind[i].startswith("<TIME") or kind[i] == "<GLOG>":
+        if _is_time(kind[i]):
             out["time"] = i
-        if kind[i] in ("<LEVEL>", "[<LEVEL>]", "##[<LEVEL>]", "<LETTER>", "<GLOG>") or kind[i].startswith("<PRI"):
+        if kind[i] in _LEVELLED:
             out["level"] = i
     component = _component(kind, run, out, named)
     return out if component < 0 else out | {"component": component}
@@ -503,6 +577,20 @@ _LINE_SCHEMA = "run_id string, line_no bigint, template bigint, front array<stri
 JSON_LINES = -1
 
 
+def _parts(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows of texts and numbers, SENT characters or 10,000 rows at a time."""
+    part: list[tuple] = []
+    size = 0
+    for row in rows:
+        part.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if size > SENT or len(part) == 10_000:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def parsed_lines(run_log: DataFrame) -> DataFrame:
     """Every line with its template's number, the normal values of its leading tokens, and its pairs; and a row for each template of each partition, with its front's kind and its lines.
 
@@ -514,6 +602,17 @@ def parsed_lines(run_log: DataFrame) -> DataFrame:
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         names = [x.split()[0] for x in _LINE_SCHEMA.split(", ")]
         kinds = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64(), pa.int64()]
+
+        def grown():
+            at = base
+            for part in _parts((" ".join(front(t)), " ".join(t), n) for t, n in tree.templates()):
+                size = len(part)
+                empty = [pa.nulls(size, k) for k in kinds[1:]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()), pa.array(range(at, at + size), pa.int64()), *empty, *(pa.array(c, k) for c, k in zip(zip(*part, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True))], names
+                )
+                at += size
+
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             years, days = batch.column("year").to_pylist(), batch.column("day").to_pylist()
@@ -530,7 +629,7 @@ def parsed_lines(run_log: DataFrame) -> DataFrame:
                         number = base + tree.add(classes)
                         if _OPENS.match(classes[0]) or classes[0].startswith("<KV"):
                             received = (years[i], days[i]) if years[i] else None
-                            values = [_normal(c, v, received) for c, v in zip(classes[:_FRONT_TOKENS], tokens, strict=False)]
+                            values = [_normal(c, v, received) for c, v in zip(classes[: _leading(classes)], tokens, strict=False)]
                             if classes[0] == "<GLOG>":
                                 values.append(_utc(_GLOG.match(tokens[0]), received))
                                 values[0] = LETTERS[tokens[0][0]]
@@ -540,12 +639,10 @@ def parsed_lines(run_log: DataFrame) -> DataFrame:
                     column.append(value)
             size = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("line_no"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True)), pa.nulls(size, pa.string()), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64())], names)
-        known = list(tree.templates())
-        size = len(known)
-        empty = [pa.nulls(size, k) for k in kinds[1:]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()), pa.array(range(base, base + size), pa.int64()), *empty, pa.array([" ".join(front(t)) for t, _ in known], pa.string()), pa.array([" ".join(t) for t, _ in known], pa.string()), pa.array([n for _, n in known], pa.int64())], names
-        )
+            if tree.held > HELD:
+                yield from grown()
+                tree, base = TemplateTree(), base + len(tree.known)
+        yield from grown()
 
     received = [F.year("received_at").alias("year"), F.dayofyear("received_at").alias("day")] if "received_at" in run_log.columns else [F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("day")]
     return run_log.select("run_id", "line_no", "raw_line", *received).mapInArrow(run, _LINE_SCHEMA)
@@ -575,17 +672,26 @@ def placed(parsed: DataFrame) -> DataFrame:
 def templates(run_log: DataFrame) -> DataFrame:
     """(template, tokens, lines) of the trees over a run log that begin entries; those alike are merged, kind by kind.  Lines that begin no entry have none."""
 
-    def run(batches):
-        trees: dict[str, TemplateTree] = {}
+    def grown(batches):
+        at, tree = None, TemplateTree()
         for batch in batches:
-            for kind, tokens, lines in sorted(zip(*(batch.column(c).to_pylist() for c in ("kind", "tokens", "lines")), strict=True)):
-                if opens(tuple(kind.split(" "))):
-                    trees.setdefault(kind, TemplateTree()).add(tokens.split(" "), lines)
-        rows = [(" ".join(t), len(t), n) for kind in sorted(trees) for t, n in trees[kind].templates()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], ["template", "tokens", "lines"])
+            for kind, size, tokens, lines in zip(*(batch.column(c).to_pylist() for c in ("kind", "size", "tokens", "lines")), strict=True):
+                if not opens(tuple(kind.split(" "))):
+                    continue
+                if at != (kind, size):
+                    yield from ((" ".join(t), len(t), n) for t, n in tree.templates())
+                    at, tree = (kind, size), TemplateTree()
+                tree.add(tokens.split(" "), lines)
+        yield from ((" ".join(t), len(t), n) for t, n in tree.templates())
+
+    def run(batches):
+        for part in _parts(grown(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], ["template", "tokens", "lines"])
 
     known = parsed_lines(parallel(run_log)).where("kind is not null").groupBy("kind", "tokens").agg(F.sum("lines").alias("lines"))
-    return known.repartition("kind").mapInArrow(run, "template string, tokens int, lines bigint").groupBy("template", "tokens").agg(F.sum("lines").alias("lines"))
+    # Templates of different kinds or sizes are never merged: one tree at a time is held.
+    known = known.withColumn("size", F.size(F.split("tokens", " "))).repartition("kind", "size").sortWithinPartitions("kind", "size", "tokens")
+    return known.mapInArrow(run, "template string, tokens int, lines bigint").groupBy("template", "tokens").agg(F.sum("lines").alias("lines"))
 
 
 def entries(run_log: DataFrame) -> DataFrame:

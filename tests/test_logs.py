@@ -158,3 +158,52 @@ def test_times_without_a_year_take_the_year_of_receipt():
 def test_long_line(spark):
     got = logs.entries(table(spark, ["[Info] " + "word " * 200_000 + "nodes=3"])).collect()
     assert len(got) == 1 and got[0]["nodes"] == 3
+
+
+def test_templates_have_the_whole_of_long_lines(spark):
+    # Lines alike in their first 60 words, not behind them; and ones that are longer.
+    same = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    ends = ["alpha", "beta"]
+    lines = [f"[Info] {same} " + " ".join(f"{end}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)) for end in ends] + [f"[Info] {same} {'more ' * n}" for n in (1, 2, 300)]
+    rows = logs.templates(table(spark, lines)).collect()
+    assert sorted((r["tokens"], r["lines"]) for r in rows) == [(62, 1), (63, 1), (151, 1), (151, 1), (361, 1)]
+    assert all(len(r["template"].split(" ")) == r["tokens"] for r in rows)
+    assert sorted(r["template"].split(" ")[-1][:4] for r in rows) == ["alph", "beta", "more", "more", "more"]
+    like = [f"[Info] {same} end {w}" for w in ("x", "y")]
+    assert [r["template"] for r in logs.templates(table(spark, like)).collect()] == [f"[<LEVEL>] {same} end <*>"]
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ('ts=2026-04-05T13:56:13.187Z a=1 b=2 c=3 d=4 e=5 f=6 g=7 msg="level=info x" lvl=error logger=store.index', ("2026-04-05 13:56:13.187", "ERROR", "store.index")),
+        ("ts=2026-04-05T13:56:13.187Z a=1 b=2 c=3 d=4 e=5 f=6 words lvl=error", ("2026-04-05 13:56:13.187", "", "")),
+        ("2026-03-01 10:00:00 | host | app | store | INFO | slow | WARN | x", ("2026-03-01 10:00:00.000", "INFO", "store")),
+        ("2026-03-01 10:00:00 - host - app - main - store - ERROR - slow - x", ("2026-03-01 10:00:00.000", "ERROR", "store")),
+        ("WARN | a | b | c | store | 2026-03-01T10:00:00Z | slow", ("2026-03-01 10:00:00.000", "WARN", "store")),
+        ("2026-03-01 10:00:00 INFO [" + "worker " * 30 + "] store.Loader slow", ("2026-03-01 10:00:00.000", "INFO", "store.Loader")),
+    ],
+)
+def test_fields_of_long_fronts(spark, line, want):
+    assert one(line) == want
+    rows = logs.entries(table(spark, [line])).collect()
+    assert [(r["logged_at"], r["log_level"], r["component"]) for r in rows] == [want]
+
+
+def test_another_tree_where_templates_grow(spark, monkeypatch):
+    monkeypatch.setattr(logs, "HELD", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        lines = [f"[{level}] {'word ' * n}end" for n in range(12) for level in ("Info", "Warn")]
+        rows = logs.templates(table(spark, lines * 2).coalesce(1)).collect()
+        found = logs.entries(table(spark, lines).coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["lines"] for r in rows) == 48 and sorted(r["tokens"] for r in rows) == list(range(2, 14))
+    assert sorted((r["first_line"], r["log_level"]) for r in found) == [(i, "INFO" if i % 2 else "WARN") for i in range(1, 25)]
+
+
+def test_rows_are_sent_in_parts(monkeypatch):
+    monkeypatch.setattr(logs, "SENT", 10)
+    rows = [("x" * n, n) for n in (4, 4, 4, 30, 1)]
+    assert list(logs._parts(iter(rows))) == [rows[:3], rows[3:4], rows[4:]]
